@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from milap.llm import components, leaks, levels, mixing
+from milap.llm import components, leaks, levels, mixing, survivor
 from milap.session import stage, table
 
 
@@ -68,5 +68,10 @@ def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return levels.reading_levels(table(spark, sf_dir, "documents"), table(spark, sf_dir, "level_labels")).select("doc_id", F.col("level").cast("int").alias("level"))
 
 
-QUERIES = {"p9_found": p9_found, "p4_found": p4_found, "p7_found": p7_found, "p7_spans": p7_spans, "p8_found": p8_found, "p8_drawn": p8_drawn}
+def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """For each canonical key, the phone, e-mail, website and Facebook page in use."""
+    return survivor.survivors(table(spark, sf_dir, "listings"), table(spark, sf_dir, "source_trust"))
+
+
+QUERIES = {"p6_found": p6_found, "p9_found": p9_found, "p4_found": p4_found, "p7_found": p7_found, "p7_spans": p7_spans, "p8_found": p8_found, "p8_drawn": p8_drawn}
 ORACLE = {"p4_found": P4_SQL}

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from milap.llm import components, leaks, levels, mixing, survivor
+from milap.llm import components, leaks, levels, mixing, names, survivor
 from milap.session import stage, table
 
 
@@ -73,5 +73,10 @@ def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return survivor.survivors(table(spark, sf_dir, "listings"), table(spark, sf_dir, "source_trust"))
 
 
-QUERIES = {"p6_found": p6_found, "p9_found": p9_found, "p4_found": p4_found, "p7_found": p7_found, "p7_spans": p7_spans, "p8_found": p8_found, "p8_drawn": p8_drawn}
+def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Listings and evidence rows of one business whose names are spelt differently."""
+    return names.variant_pairs(table(spark, sf_dir, "listings"), table(spark, sf_dir, "evidence"))
+
+
+QUERIES = {"p2_found": p2_found, "p6_found": p6_found, "p9_found": p9_found, "p4_found": p4_found, "p7_found": p7_found, "p7_spans": p7_spans, "p8_found": p8_found, "p8_drawn": p8_drawn}
 ORACLE = {"p4_found": P4_SQL}

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from milap.llm import components, leaks, levels, mixing, names, survivor
+from milap.llm import buildings, components, leaks, levels, mixing, names, retrieval, survivor
 from milap.session import stage, table
 
 
@@ -78,5 +78,22 @@ def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return names.variant_pairs(table(spark, sf_dir, "listings"), table(spark, sf_dir, "evidence"))
 
 
-QUERIES = {"p2_found": p2_found, "p6_found": p6_found, "p9_found": p9_found, "p4_found": p4_found, "p7_found": p7_found, "p7_spans": p7_spans, "p8_found": p8_found, "p8_drawn": p8_drawn}
+def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Places and evidence rows in one building whose addresses are written differently."""
+    return buildings.same_building(table(spark, sf_dir, "places"), table(spark, sf_dir, "evidence"), table(spark, sf_dir, "localities"))
+
+
+def p5_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Places and evidence rows of one business, with the confidence."""
+    places = table(spark, sf_dir, "places").select(F.col("row_id").alias("id"), F.col("title").alias("name"), F.col("phone_number").alias("phone"), F.col("website").alias("web"), F.lit(None).cast("string").alias("site"), "address")
+    evidence = table(spark, sf_dir, "evidence").select(F.col("evidence_id").alias("id"), "name", "phone", F.col("website").alias("web"), F.col("domain").alias("site"), "address")
+    return retrieval.match(places, evidence).select(F.col("left_id").alias("row_id"), F.col("right_id").alias("evidence_id"), "confidence")
+
+
+def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Places and evidence rows of one business."""
+    return p5_matches(spark, sf_dir).select("row_id", "evidence_id")
+
+
+QUERIES = {"p5_found": p5_found, "p5_matches": p5_matches, "p3_found": p3_found, "p2_found": p2_found, "p6_found": p6_found, "p9_found": p9_found, "p4_found": p4_found, "p7_found": p7_found, "p7_spans": p7_spans, "p8_found": p8_found, "p8_drawn": p8_drawn}
 ORACLE = {"p4_found": P4_SQL}

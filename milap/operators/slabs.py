@@ -103,12 +103,31 @@ def _known(df: DataFrame, *columns: str) -> DataFrame:
     return df.where(" and ".join(f"({x} is not null and not isnan({x}))" for x in columns))
 
 
-def discs_over_points(regions: DataFrame, points: DataFrame, slab_deg: float, tile_deg: float) -> DataFrame:
+def _cut(edges: DataFrame, spots: DataFrame, most: int) -> DataFrame:
+    """Edges and spots with ``tile`` made a cell of their tile: crowded tiles are cut so that a cell has about ``most`` of each.
+
+    With m parts of the edges and n of the spots a tile has m n cells; an edge goes to the n cells of its part, a spot to the m of its own, so each meets each once.
+    Crowded tiles are few: at most rows / ``most``.
+    """
+    parts = lambda df, c: df.groupBy("tile").agg(F.count("*").alias("c")).where(F.col("c") > most).select("tile", F.ceil(F.col("c") / most).cast("int").alias(c))
+    crowded = parts(edges, "m").join(parts(spots, "n"), "tile", "full").select("tile", F.coalesce("m", F.lit(1)).alias("m"), F.coalesce("n", F.lit(1)).alias("n"))
+    own = lambda k: F.pmod(F.xxhash64("id"), F.col(k)).cast("int")
+    every = lambda k: F.explode(F.sequence(F.lit(0), F.col(k) - 1))
+
+    def spread(df: DataFrame, e, s) -> DataFrame:
+        hot = df.join(crowded, "tile").withColumn("e", e).withColumn("s", s).withColumn("tile", F.xxhash64("tile", "e", "s")).select(*df.columns)
+        return df.join(crowded.select("tile"), "tile", "left_anti").select(*df.columns).unionByName(hot)
+
+    return spread(edges, own("m"), every("n")).unionByName(spread(spots, every("m"), own("n")))
+
+
+def discs_over_points(regions: DataFrame, points: DataFrame, slab_deg: float, tile_deg: float, most: int = 500_000) -> DataFrame:
     """Hits ``(region, point, region_tag, point_tag)`` of regions ``(id, tag, lat, lng, radius)`` over points ``(id, tag, lat, lng)``, each once.
 
     ``slab_deg`` and ``tile_deg`` are the height of a slab and the width of its tiles. A region is sent to each tile its trapezoids
     touch, a point to the one it lies in, so a hit is found in exactly one tile. Rows with a null or NaN, or a negative radius,
-    never hit; empty tables give no hits. The date line is not crossed. One shuffle, of ids, tags and coordinates only.
+    never hit; empty tables give no hits. The date line is not crossed. Tiles of more than ``most`` edges or points are cut into cells. One
+    shuffle of ids, tags and coordinates, besides the counts by tile.
     """
     tiles_over = 1 << 20
     r, p = _known(regions, "lat", "lng", "radius").where("radius >= 0"), _known(points, "lat", "lng")
@@ -122,10 +141,10 @@ def discs_over_points(regions: DataFrame, points: DataFrame, slab_deg: float, ti
         .select(tile(F.col("slab"), F.col("col")), role(0), "id", "lat", "lng", F.col("radius").cast("double"), "tag")
     )
     spots = p.select(tile(cell(F.col("lat"), slab_deg), cell(F.col("lng"), tile_deg)), role(1), "id", "lat", "lng", F.lit(0.0).alias("radius"), "tag")
-    return edges.unionByName(spots).repartition("tile").mapInArrow(_search, "region long, point long, region_tag long, point_tag long")
+    return _cut(edges, spots, most).repartition("tile").mapInArrow(_search, "region long, point long, region_tag long, point_tag long")
 
 
-def near_pairs(points: DataFrame, radius_km: float, *, id_col: str, lat_col: str, lng_col: str, apart_col: str | None = None, tile_deg: float = 0.02, salts: int = 16) -> DataFrame:
+def near_pairs(points: DataFrame, radius_km: float, *, id_col: str, lat_col: str, lng_col: str, apart_col: str | None = None, tile_deg: float = 0.02, salts: int = 16, most: int = 500_000) -> DataFrame:
     """All pairs ``(left_id, right_id)``, ``left_id < right_id``, of rows at most ``radius_km`` apart.
 
     Ids are longs and unique; a row with a null id, latitude or longitude is in no pair. Rows at one and the same position pair as
@@ -137,7 +156,7 @@ def near_pairs(points: DataFrame, radius_km: float, *, id_col: str, lat_col: str
     rows = _known(rows.select(F.col(id_col).cast("long").alias("id"), tag.alias("tag"), F.col(lat_col).cast("double").alias("lat"), F.col(lng_col).cast("double").alias("lng")).where("id is not null"), "lat", "lng")
     # a position is known by its smallest row id; a tag of 0 says that it holds more rows than one
     spots = stage(rows.groupBy("lat", "lng").agg(F.min("id").alias("id"), F.min("tag").alias("one_tag"), F.count("*").alias("n")).withColumn("tag", F.when(F.col("n") == 1, F.col("one_tag")).otherwise(0)), "spots")
-    found = discs_over_points(spots.withColumn("radius", F.lit(float(radius_km))), spots, radius_km / KM_PER_DEGREE * 2, tile_deg)
+    found = discs_over_points(spots.withColumn("radius", F.lit(float(radius_km))), spots, radius_km / KM_PER_DEGREE * 2, tile_deg, most)
     hits = stage(found.where("region < point or (region = point and region_tag = 0)"), "hits")
     plain = hits.where("region_tag <> 0 and point_tag <> 0")
     # positions of many rows are joined with them; the rows of one position are spread by a salt
@@ -154,8 +173,8 @@ def near_pairs(points: DataFrame, radius_km: float, *, id_col: str, lat_col: str
     return pairs.where("region_tag <> point_tag").select(F.least("region_id", "point_id").alias("left_id"), F.greatest("region_id", "point_id").alias("right_id"))
 
 
-def points_inside(points: DataFrame, regions: DataFrame, *, id_col: str, lat_col: str, lng_col: str, region_col: str, centre_lat: str, centre_lng: str, radius_col: str, slab_deg: float = 0.1, tile_deg: float = 0.1) -> DataFrame:
+def points_inside(points: DataFrame, regions: DataFrame, *, id_col: str, lat_col: str, lng_col: str, region_col: str, centre_lat: str, centre_lng: str, radius_col: str, slab_deg: float = 0.1, tile_deg: float = 0.1, most: int = 500_000) -> DataFrame:
     """Pairs ``(point_id, region_id)`` where the point lies in the region's disc, its rim included; other rows are in none."""
     r = regions.select(F.col(region_col).cast("long").alias("id"), F.lit(1).cast("long").alias("tag"), F.col(centre_lat).cast("double").alias("lat"), F.col(centre_lng).cast("double").alias("lng"), F.col(radius_col).cast("double").alias("radius"))
     p = points.select(F.col(id_col).cast("long").alias("id"), F.lit(1).cast("long").alias("tag"), F.col(lat_col).cast("double").alias("lat"), F.col(lng_col).cast("double").alias("lng"))
-    return discs_over_points(r.where("id is not null"), p.where("id is not null"), slab_deg, tile_deg).select(F.col("point").alias("point_id"), F.col("region").alias("region_id"))
+    return discs_over_points(r.where("id is not null"), p.where("id is not null"), slab_deg, tile_deg, most).select(F.col("point").alias("point_id"), F.col("region").alias("region_id"))

@@ -25,6 +25,7 @@ def test_near_pairs_against_brute_force(spark):
     ok = [r for r in rows if r[2] is not None and r[2] == r[2] and r[1] is not None]
     want = {(a[0], b[0]) for a in ok for b in ok if a[0] < b[0] and a[1] != b[1] and km(a[2], a[3], b[2], b[3]) <= 0.05}
     assert got == want and len(want) > 60
+    assert {tuple(r) for r in near_pairs(df, 0.05, id_col="id", lat_col="lat", lng_col="lng", apart_col="place", most=10).collect()} == want
 
 
 def test_points_inside(spark):
@@ -34,6 +35,8 @@ def test_points_inside(spark):
     p, r = spark.createDataFrame(pts, "id long, lat double, lng double"), spark.createDataFrame(discs, "rid long, clat double, clng double, rad double")
     got = sorted(map(tuple, points_inside(p, r, id_col="id", lat_col="lat", lng_col="lng", region_col="rid", centre_lat="clat", centre_lng="clng", radius_col="rad").collect()))
     assert got == sorted((i, j) for i, a, b in pts for j, c, d, q in discs if c is not None and q >= 0 and km(a, b, c, d) <= q)
+    cut = points_inside(p, r, id_col="id", lat_col="lat", lng_col="lng", region_col="rid", centre_lat="clat", centre_lng="clng", radius_col="rad", slab_deg=1.0, tile_deg=1.0, most=15)
+    assert sorted(map(tuple, cut.collect())) == got
     assert points_inside(p.limit(0), r, id_col="id", lat_col="lat", lng_col="lng", region_col="rid", centre_lat="clat", centre_lng="clng", radius_col="rad").count() == 0
 
 

@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from milap.functions import contacts, phones, social, text, urls
-from milap.operators import geography, graph, matching, ranking, scoring
+from milap.operators import gates, geography, graph, matching, ranking, scoring
+from milap.plans import pipeline
 from milap.operators.slabs import haversine_km
 from milap.session import table
 from milap.sources import cache, store
@@ -529,6 +530,74 @@ def search_with_fallback(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cache.with_fallback(pick("serp_primary"), pick("serp_secondary"), "run_id").select("run_id", "evidence_id")
 
 
+_ASKED = "string_split(trim(split_part(query_key, ' in ', 1)), ' ')"
+
+
+@_query(
+    f"""WITH r AS (SELECT run_id, {_ASKED} AS terms FROM runs WHERE query_key IS NOT NULL),
+      p AS (SELECT row_id, run_id, string_split({s_name_key("concat_ws(' ', title, category)")}, ' ') AS words FROM places)
+      SELECT p.row_id, CASE WHEN list_has_any(p.words, ['closed', 'atm', 'parking']) THEN 'irrelevant' WHEN list_has_any(p.words, r.terms) THEN 'relevant' ELSE 'ambiguous' END AS label FROM p JOIN r ON p.run_id = r.run_id"""
+)
+def category_relevance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Do map hits belong to the kind of business that was searched for."""
+    r = table(spark, sf_dir, "runs").where("query_key is not null").select("run_id", F.split(F.trim(F.split("query_key", " in ")[0]), " ").alias("terms"))
+    p = table(spark, sf_dir, "places").select("row_id", "run_id", text.name_key(F.concat_ws(" ", "title", "category")).alias("said"))
+    lit = lambda *w: F.array(*map(F.lit, w)).cast("array<string>")
+    return p.join(r, "run_id").select("row_id", gates.relevance(F.col("said"), F.col("terms"), F.col("terms"), lit("closed", "atm", "parking"))["label"].alias("label"))
+
+
+@_query(
+    """WITH q AS (SELECT run_id, trim(split_part(query, ' in ', 1)) AS c, coalesce(location, '') AS l FROM runs WHERE query IS NOT NULL),
+      v AS (SELECT run_id, unnest([c, c || ' services', 'best ' || c]) AS q, l FROM q)
+      SELECT DISTINCT run_id, CASE WHEN l = '' OR contains(lower(q), lower(l)) THEN q ELSE q || ' ' || l END AS query FROM v"""
+)
+def expanded_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The queries into which a search is expanded."""
+    c = F.trim(F.split("query", " in ")[0])
+    q = gates.expand_queries(c, F.coalesce("location", F.lit("")), F.array(F.concat(c, F.lit(" services")), F.concat(F.lit("best "), c)))
+    return table(spark, sf_dir, "runs").where("query is not null").select("run_id", F.explode(q).alias("query"))
+
+
+@_query(
+    f"""WITH h AS (SELECT evidence_id, {s_host_or_bare('domain')} AS host, coalesce(website, '') AS url, list_filter({s_tokens(s_lenient('name'))}, lambda t: NOT list_contains([{', '.join(repr(g) for g in text.GENERIC)}], t)) AS words FROM evidence)
+      SELECT evidence_id, CASE WHEN host = '' THEN 'unverified' WHEN regexp_matches(host, '\.(sitehost|weebpage|wixsite|blogspot|wordpress)\.') THEN 'service_platform' WHEN {s_third('host')} OR regexp_matches(url, '{urls.DIRECTORY_PATH}') THEN 'directory'
+        WHEN len(list_filter(words, lambda t: length(t) >= 4 AND contains(host, t))) > 0 THEN 'first_party' WHEN len(words) = 0 THEN 'related_entity' ELSE 'unrelated' END AS relation FROM h"""
+)
+def website_relationships(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the website of a search hit is to the business it names."""
+    rel = gates.relationship(urls.domain_or_host(F.col("domain")), F.coalesce("website", F.lit("")), F.col("name"), F.lit(None).cast("string"))
+    return table(spark, sf_dir, "evidence").select("evidence_id", rel.alias("relation"))
+
+
+@_query(
+    _PHONE_SQL.replace("FROM evidence)", "FROM (SELECT DISTINCT listing_index AS evidence_id, unnest(list_concat(phones, mobiles)) AS phone FROM listings))").split("SELECT evidence_id, k[1] AS type")[0]
+    + "SELECT evidence_id AS listing_index, coalesce(list_sort(list_distinct(list(k[2]) FILTER (k[1] IN ('landline', 'international')))), []) AS phones, coalesce(list_sort(list_distinct(list(k[2]) FILTER (k[1] = 'mobile'))), []) AS mobiles FROM k WHERE k[1] <> 'invalid' GROUP BY evidence_id"
+)
+def contact_routing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """V06, V08, §1.5: numbers sorted into phones and mobiles, each once, so that the two never share one."""
+    n = table(spark, sf_dir, "listings").select("listing_index", F.explode(F.array_distinct(F.concat("phones", "mobiles"))).alias("p")).select("listing_index", phones.classify(F.col("p")).alias("k")).where("k.type <> 'invalid'")
+    kept = lambda c: F.array_sort(F.collect_set(F.when(c, F.col("k.digits"))))
+    return n.groupBy("listing_index").agg(kept(F.col("k.type").isin("landline", "international")).alias("phones"), kept(F.col("k.type") == "mobile").alias("mobiles"))
+
+
+@_query(
+    """WITH f AS (SELECT canonical_key, arg_min(social_links.facebook, (ingested_at, listing_index)) AS first_page FROM listings WHERE coalesce(social_links.facebook, '') <> '' AND canonical_key IS NOT NULL GROUP BY canonical_key)
+      SELECT l.listing_index, coalesce(nullif(l.social_links.facebook, ''), f.first_page) AS page, coalesce(l.social_links.facebook, '') = '' AND f.first_page IS NOT NULL AS filled FROM listings l LEFT JOIN f ON l.canonical_key = f.canonical_key"""
+)
+def social_completion(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Missing pages filled from the first row of the same key that has one."""
+    l = table(spark, sf_dir, "listings").select("listing_index", "canonical_key", F.nullif("social_links.facebook", F.lit("")).alias("page"), "ingested_at")
+    first = l.where("page is not null and canonical_key is not null").groupBy("canonical_key").agg(F.min_by("page", F.struct("ingested_at", "listing_index")).alias("first_page"))
+    return l.join(first, "canonical_key", "left").select("listing_index", F.coalesce("page", "first_page").alias("page"), (F.col("page").isNull() & F.col("first_page").isNotNull()).alias("filled"))
+
+
+@_query()
+def candidate_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """P01-P05, F05-F09, F26-F28, C15, A12, §3.1: the run of all stages; what became of every candidate."""
+    found = pipeline.candidates(table(spark, sf_dir, "places"), table(spark, sf_dir, "evidence"), table(spark, sf_dir, "localities"))
+    return pipeline.ledger(pipeline.listings(found, table(spark, sf_dir, "documents")))
+
+
 # ---- aggregations, windows, top-k -----------------------------------------------------------------------------------------
 
 

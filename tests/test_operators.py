@@ -172,3 +172,49 @@ def test_streams(spark, tmp_path):
     q.awaitTermination()
     assert spark.read.parquet(str(tmp_path / "once")).count() == 2
     assert [r["count"] for r in edges.windowed_counts(ev, "ts", "event_type").collect()] == [3]
+
+
+def test_one_to_one_equals_greedy_walk(spark):
+    from milap.operators import gates
+
+    rng = random.Random(12)
+    pairs = list({(rng.randrange(15), rng.randrange(15), rng.randrange(5)) for _ in range(90)}) + [(None, 1, 0), (3, None, 0)]
+    got = {(r.a, r.b) for r in gates.one_to_one(spark.createDataFrame(pairs, "a int, b int, o int"), "a", "b", "o").collect()}
+    used_a, used_b, want = set(), set(), set()
+    for o, a, b in sorted((o, a, b) for a, b, o in pairs if a is not None and b is not None):
+        if a not in used_a and b not in used_b:
+            used_a.add(a)
+            used_b.add(b)
+            want.add((a, b))
+    assert got == want
+
+
+def test_gates(spark):
+    from milap.operators import gates
+
+    df = spark.createDataFrame([("Top 10 cafes in Nepal 2024",), ("Home",), (None,), ("Om Samaj Dental",)], "n string")
+    assert [r.x for r in df.select(gates.artifact_name(F.col("n")).alias("x")).collect()] == [True, True, True, False]
+    arr = lambda *w: F.array(*map(F.lit, w)).cast("array<string>")
+    d = spark.createDataFrame([("om dental clinic",), ("bank atm dental",), ("grocery",)], "s string")
+    assert [r.x for r in d.select(gates.relevance(F.col("s"), arr("dental"), arr("clinic"), arr("atm"))["label"].alias("x")).collect()] == ["relevant", "irrelevant", "ambiguous"]
+    assert spark.range(1).select(gates.expand_queries(F.lit("gym"), F.lit("Miyel"), arr("gym", "fitness in Miyel")).alias("q")).first().q == ["gym Miyel", "fitness in Miyel"]
+    assert spark.range(1).select(gates.lifecycle(F.lit("first_party"), F.lit(True)).alias("x")).first().x == "first_party_owned"
+
+
+def test_pipeline_accounts_for_every_candidate(spark):
+    from milap.plans import pipeline
+
+    place = "row_id long, place_id string, cid string, run_id string, title string, address string, phone_number string, website string, latitude double, longitude double, rating_count double, category string, requested string"
+    places = spark.createDataFrame([
+        (1, "a", None, "r", "Om Samaj Dental", "Thayim 3", "01-4311600", None, None, None, 5.0, "Dental", "thayim"), (2, "a", None, "r", "Om Samaj", "Thayim", None, "https://omsamaj.example", None, None, 9.0, None, "thayim"),
+        (3, "b", None, "r", "Home", "Thayim", None, None, None, None, None, None, "thayim"), (4, "c", None, "r", "Far Cafe", "Miyel", "9851239227", None, 28.0, 85.0, None, None, "thayim"), (5, None, None, "r", None, None, None, None, None, None, None, None, None), (6, "d", None, "r", "Lone Hill", "Thayim", None, None, None, None, None, None, "thayim"),
+    ], place)
+    evidence = spark.createDataFrame([(1, "r", "Web Only", "01-4311601", None, "webonly.example"), (2, "r", "Om Samaj", None, None, "omsamaj.example"), (3, "r", "x", None, None, "facebook.com"), (4, None, None, None, None, None)], "evidence_id long, run_id string, name string, phone string, address string, domain string")
+    loc = spark.createDataFrame([(1, "thayim", (27.0, 85.0), 5.0, []), (2, "miyel", (28.0, 85.0), 5.0, [])], "locality_id long, canonical_name string, centroid struct<lat:double,lng:double>, max_radius_km double, aliases array<string>")
+    docs = spark.createDataFrame([("omsamaj.example", "https://omsamaj.example/contact"), (None, None)], "site string, url string")
+    found = pipeline.candidates(places, evidence, loc)
+    book = pipeline.ledger(pipeline.listings(found, docs))
+    got = {r.candidate: r.outcome for r in book.collect()}
+    assert got == {"map:a": "finalized", "map:b": "artifact_name", "map:c": "outside", "map:|": "artifact_name", "map:d": "no_contact", "web:webonly.example": "finalized"}
+    report = pipeline.outcome_report(book).first()
+    assert report.candidates == 6 and report.finalized == 2 and report.over_target == 0

@@ -118,3 +118,60 @@ def branch_blocks(text: Column) -> Column:
     parts = F.split(F.concat(F.lit("\n"), F.coalesce(text, F.lit(""))), r"\n#{1,4}\s+")
     block = F.transform(parts, lambda p: F.struct(F.trim(F.split(p, "\n")[0]).alias("name"), F.trim(F.regexp_replace(p, r"^[^\n]*\n?", "")).alias("body")))
     return F.filter(block, lambda b: b["name"].rlike(r"(?i)\b(office|branch|outlet|location|centre|center)\b"))
+
+
+def opening_hours(text: Column) -> Column:
+    """What a page says of its hours, on one line after a word for them; null if nothing."""
+    return F.nullif(F.trim(F.regexp_extract(F.coalesce(text, F.lit("")), r"(?im)(?:opening hours|business hours|office hours|hours)\s*[:\-]\s*([^\n]{3,120})", 1)), F.lit(""))
+
+
+def services(text: Column, most: int = 10) -> Column:
+    """The listed services after a heading for them, distinct in order, at most ``most``."""
+    part = F.regexp_extract(F.coalesce(text, F.lit("")), r"(?is)(?:^|\n)#*\s*(?:our )?services\s*:?\s*\n((?:\s*[-*•][^\n]+\n?)+)", 1)
+    lines = F.filter(F.transform(F.split(part, "\n"), lambda s: F.trim(F.regexp_replace(s, r"^\s*[-*•]\s*", ""))), lambda s: s != "")
+    return F.slice(F.array_distinct(lines), 1, most)
+
+
+def address_of(html: Column) -> Column:
+    """The page's address: structured data, then an element or line that is labelled as one; null if none."""
+    t = F.coalesce(html, F.lit(""))
+    pick = lambda p: F.nullif(F.trim(F.regexp_replace(F.regexp_extract(t, p, 1), "<[^>]+>", " ")), F.lit(""))
+    return F.coalesce(structured_data(html)["address"], pick(r"(?is)<address[^>]*>(.*?)</address>"), pick(r"(?im)^(?:address|location)\s*:\s*([^\n]{5,200})$"))
+
+
+def branch_address(x: Column) -> Column:
+    """An address without images, links, e-mails, phones, labels and map buttons."""
+    t = F.regexp_replace(F.coalesce(x, F.lit("")), r"!\[[^\]]*\]\([^)]*\)|\S+\.(?:png|jpe?g|svg|webp)\b|https?://\S+|[\w.+-]+@[\w-]+\.[\w.]+", " ")
+    t = F.regexp_replace(t, r"(?i)\b(get directions?|view (on )?map|call now|address|phone|tel|mobile|email)\b\s*:?", " ")
+    t = F.regexp_replace(t, r"\+?\d[\d\s()-]{6,}\d", " ")
+    return F.regexp_replace(F.trim(F.regexp_replace(F.regexp_replace(t, r"\s+", " "), r"(\s*[,;|]\s*)+", ", ")), r"^[,\s]+|[,\s]+$", "")
+
+
+def head_office(name: Column, body: Column, locality: Column) -> Column:
+    """Is a block the head office: named so, or at the locality and naming no branch."""
+    said = F.lower(F.concat_ws(" ", name, body))
+    return F.lower(name).rlike(r"\b(head|main|corporate|central) office\b") | (F.contains(said, F.lower(locality)) & ~F.lower(name).rlike(r"\b(branch|outlet)\b"))
+
+
+def block_of(blocks: Column, value: Column) -> Column:
+    """The first of the ``branch_blocks`` that holds a contact: the address of an e-mail, the last eight digits of a number; null if none."""
+    digits = lambda c: F.regexp_replace(c, "[^0-9]", "")
+    mail = F.contains(value, F.lit("@"))
+    return F.get(F.filter(blocks, lambda b: F.when(mail, F.contains(F.lower(b["body"]), F.lower(value))).otherwise((F.length(digits(value)) >= 7) & F.contains(digits(b["body"]), F.substring(digits(value), -8, 8)))), F.lit(0))
+
+
+def attribute_branch(value_digits: Column, block_name: Column, locality: Column, area_locality: Column, maps_digits: Column) -> Column:
+    """Struct ``(attribution, label)`` of a number at a business of several branches; the first that holds decides.
+
+    hotline (16 digits of a toll-free number or 1660/1800), the block it stands in (primary at the locality, else branch), the area code's region, the number known from the map, else unattributed.
+    """
+    out = lambda a, label: F.struct(F.lit(a).alias("attribution"), label.cast("string").alias("label"))
+    here = F.contains(F.lower(block_name), F.lower(locality)) | F.lower(block_name).rlike(r"\b(head|main|corporate) office\b")
+    return (
+        F.when(value_digits.rlike("^(1660|1800)"), out("hotline", F.lit(None)))
+        .when(block_name.isNotNull() & here, out("primary", block_name))
+        .when(block_name.isNotNull(), out("branch_contact", block_name))
+        .when(area_locality.isNotNull() & (F.lower(area_locality) != F.lower(locality)), out("branch_contact", area_locality))
+        .when(value_digits == maps_digits, out("primary", locality))
+        .otherwise(out("unattributed", F.lit(None)))
+    )

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import re
+from urllib.parse import urljoin, urlsplit
+
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -113,3 +117,31 @@ def priority_score(x: Column) -> Column:
 def third_party(host: Column, listed: tuple[str, ...]) -> Column:
     """Is the host one of ``listed`` or below one."""
     return host.isin(*listed) | host.rlike(r"\.(" + "|".join(s.replace(".", r"\.") for s in listed) + ")$") if listed else F.lit(False)
+
+
+def internal_urls(base: Column, links: Column) -> Column:
+    """Links of a page as absolute URLs of the same host, without query and fragment, ``/index.*`` as ``/``, ignored paths left out; distinct in order.
+
+    Resolved in Arrow batches by the rules of RFC 3986. A base that is no URL has no internal links.
+    """
+    @F.pandas_udf("array<string>")
+    def resolve(b: pd.Series, ls: pd.Series) -> pd.Series:
+        bad = re.compile(IGNORED)
+
+        def one(page, targets):
+            host = (urlsplit(page).hostname or "").removeprefix("www.") if page else ""
+            out = {}
+            for t in (t for t in targets if t) if targets is not None and host else ():
+                try:
+                    u = urlsplit(urljoin(page, t))
+                except (ValueError, TypeError):
+                    continue
+                if u.scheme in ("http", "https") and (u.hostname or "").removeprefix("www.") == host:
+                    path = re.sub(r"/index\.[a-z]+$", "/", u.path) or "/"
+                    if not bad.search(path):
+                        out[f"{u.scheme}://{host}{path if path == '/' else path.rstrip('/')}"] = None
+            return list(out)
+
+        return pd.Series([one(x, y) for x, y in zip(b, ls, strict=True)])
+
+    return resolve(base, links)

@@ -111,3 +111,11 @@ def merge_duplicates(listings: DataFrame, members: DataFrame, size_cap: int = 3,
     merged = sure.groupBy("component").agg(best.alias("survivor"), all_of("phones"), all_of("emails"), all_of("websites"), F.array_sort(F.collect_set("name")).alias("aliases"))
     none = F.array().cast("array<string>")
     return size.join(merged, "component", "left").select("component", "members", "survivor", "suspected", *(F.coalesce(c, none).alias(c) for c in ("phones", "emails", "websites", "aliases")))
+
+
+def conflict_reason(kind: Column, name_a: Column, name_b: Column, shared_phones: Column, shared_emails: Column, shared_hosts: Column, shared_socials: Column, km: Column) -> Column:
+    """A sentence that says what two listings share and what that suggests."""
+    part = lambda label, c: F.when(F.size(c) > 0, F.concat(F.lit(f"{label} ["), F.array_join(c, ", "), F.lit("]")))
+    parts = F.array_compact(F.array(part("phones", shared_phones), part("e-mails", shared_emails), part("hosts", shared_hosts), part("profiles", shared_socials), F.when(km < 0.5, F.concat(F.lit("a distance of "), F.round(km * 1000).cast("int").cast("string"), F.lit(" m")))))
+    lead = F.when(kind == "DUPLICATE_MAPS_LISTING", "one place listed twice").when(kind == "POSSIBLY_SAME_ENTITY", "one business").when(kind == "RELATED_BRAND", "related brands").when(kind == "SHARED_OFFICE", "a shared office").otherwise("overlap")
+    return F.concat(name_a, F.lit(" and "), name_b, F.lit(" share "), F.array_join(parts, " and "), F.lit(": "), lead)

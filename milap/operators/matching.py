@@ -69,3 +69,17 @@ def first_match(left: DataFrame, right: DataFrame, on: list[str], order: str) ->
 def unmatched(left: DataFrame, right: DataFrame, on: list[str]) -> DataFrame:
     """Rows of the left without partner; null keys have none."""
     return left.join(right.select(*on).distinct(), on, "left_anti")
+
+
+def backfill(rows: DataFrame, known: DataFrame, on: str, column: str) -> DataFrame:
+    """``rows`` with missing values of ``column`` taken from the smallest known value of the same key."""
+    value = known.where(F.col(on).isNotNull() & (F.coalesce(column, F.lit("")) != "")).groupBy(on).agg(F.min(column).alias("_known"))
+    return rows.join(value, on, "left").withColumn(column, F.coalesce(F.nullif(column, F.lit("")), "_known")).drop("_known")
+
+
+def geocoded(asked: DataFrame, registry: DataFrame, cached: DataFrame, on: str) -> DataFrame:
+    """``asked`` with ``lat``, ``lng`` and ``found_in``: the registry first, then the cache, else null; one row each. A registry entry wins over a stale cached one."""
+    first = lambda df, tag: df.where(f"{on} is not null and lat is not null and lng is not null").groupBy(on).agg(F.min(F.struct("lat", "lng")).alias(tag))
+    both = asked.join(first(registry, "_r"), on, "left").join(first(cached, "_c"), on, "left")
+    best = F.coalesce("_r", "_c")
+    return both.withColumn("lat", best["lat"]).withColumn("lng", best["lng"]).withColumn("found_in", F.when(F.col("_r").isNotNull(), "registry").when(F.col("_c").isNotNull(), "cache")).drop("_r", "_c")

@@ -47,3 +47,9 @@ def stop_page(pages: DataFrame, key: str, page: str, item: str, target: int, sta
     run = news.withColumn("seen", F.sum("new").over(w)).withColumn("idle", (F.sum("new").over(w.rowsBetween(1 - stale, 0)) == 0) & (F.row_number().over(w) >= stale))
     stop = run.withColumn("stop", (F.col("seen") >= target) | F.col("idle") | (F.col(page) >= most)).groupBy(key).agg(F.min(F.when(F.col("stop"), F.col(page))).alias("last"))
     return pages.join(stop, key).where((F.col(page) <= F.col("last")) | F.col("last").isNull()).drop("last")
+
+
+def usable_payload(payload: Column) -> Column:
+    """Is a cached text an object with a non-empty array of results."""
+    n = F.json_array_length(F.get_json_object(payload, "$.results"))
+    return F.coalesce(n > 0, F.lit(False))

@@ -74,3 +74,11 @@ def write_artifact(df: DataFrame, root: str, stage_name: str, run_id: str) -> No
 def latest_first(df: DataFrame, by: str, order: str) -> DataFrame:
     """The newest row of each key."""
     return df.withColumn("_rn", F.row_number().over(Window.partitionBy(by).orderBy(F.col(order).desc()))).where("_rn = 1").drop("_rn")
+
+
+def status(spark, path: str) -> str:
+    """connected, empty or unreachable: can the store under ``path`` be read, and does it hold rows. Never raises."""
+    try:
+        return "connected" if spark.read.parquet(path).limit(1).count() else "empty"
+    except Exception:  # noqa: BLE001
+        return "unreachable"

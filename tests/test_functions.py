@@ -93,3 +93,20 @@ def test_json_repair_and_text(spark):
     assert [(r.name, r.n) for r in rows] == [("A", 1)]
     assert one(spark, text.strip_html, "<p>A&amp;B<script>x</script></p>") == "A&B"
     assert one(spark, lambda x: text.context_around(x, F.lit("q"), 2), "abcqdef") == "bcqde"
+
+
+def test_more_of_pages(spark):
+    assert one(spark, contacts.opening_hours, "x\nOpening hours: Sun-Fri 10-5\ny") == "Sun-Fri 10-5" and one(spark, contacts.opening_hours, None) is None
+    assert one(spark, contacts.services, "# Services\n- Scaling\n- Braces\n- Scaling\n\nx") == ["Scaling", "Braces"]
+    assert one(spark, contacts.address_of, "<address>1 Hill Road</address>") == "1 Hill Road" and one(spark, contacts.address_of, "") is None
+    assert one(spark, contacts.branch_address, "![pin](/img/p.png) 1 Hill Road, Miyel, Phone: 01-4311600 get direction https://m.example/q") == "1 Hill Road, Miyel"
+    pick = lambda v: one(spark, lambda t: contacts.block_of(contacts.branch_blocks(t), F.lit(v))["name"], "# Us\n## Butwal Office\n071-544460\n## Chitwan Office\na@b.example\n")
+    assert (pick("+977-71544460"), pick("A@b.example"), pick("1234567")) == ("Butwal Office", "Chitwan Office", None)
+    at = lambda d, b, area: one(spark, lambda x, y, z: contacts.attribute_branch(x, y, F.lit("Miyel"), z, F.lit("14311600")), d, b, area)
+    assert at("71544460", "Butwal Office", None).attribution == "branch_contact" and at("14311600", None, None).attribution == "primary" and at("71544460", None, "Butwal").label == "Butwal" and at("9851239227", None, None).attribution == "unattributed"
+    assert one(spark, lambda n, b: contacts.head_office(n, b, F.lit("Miyel")), "Head Office", "x")
+
+
+def test_internal_urls(spark):
+    df = spark.createDataFrame([("https://www.a.example/x/", ["/contact/", "about.html?x=1#y", "https://b.example/", "mailto:x", "/index.php", "/blog/x", None]), ("nonsense", ["/a"]), (None, None)], "b string, l array<string>")
+    assert [r.u for r in df.select(urls.internal_urls(F.col("b"), F.col("l")).alias("u")).collect()] == [["https://a.example/contact", "https://a.example/x/about.html", "https://a.example/"], [], []]

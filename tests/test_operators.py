@@ -218,3 +218,19 @@ def test_pipeline_accounts_for_every_candidate(spark):
     assert got == {"map:a": "finalized", "map:b": "artifact_name", "map:c": "outside", "map:|": "artifact_name", "map:d": "no_contact", "web:webonly.example": "finalized"}
     report = pipeline.outcome_report(book).first()
     assert report.candidates == 6 and report.finalized == 2 and report.over_target == 0
+
+
+def test_backfill_geocode_status_reason(spark, tmp_path):
+    rows = spark.createDataFrame([("a", None), ("b", "1"), (None, "")], "k string, phone string")
+    known = spark.createDataFrame([("a", "9"), ("a", "8"), ("b", "7"), (None, "6")], "k string, phone string")
+    assert sorted(((r.k, r.phone) for r in matching.backfill(rows, known, "k", "phone").collect()), key=str) == [("a", "8"), ("b", "1"), (None, None)]
+    geo = matching.geocoded(spark.createDataFrame([("x",), ("y",), ("z",)], "q string"), spark.createDataFrame([("x", 1.0, 2.0)], "q string, lat double, lng double"), spark.createDataFrame([("x", 9.0, 9.0), ("y", 3.0, 4.0), ("y", None, 4.0)], "q string, lat double, lng double"), "q")
+    assert {r.q: (r.lat, r.found_in) for r in geo.collect()} == {"x": (1.0, "registry"), "y": (3.0, "cache"), "z": (None, None)}
+    assert store.status(spark, str(tmp_path / "none")) == "unreachable"
+    rows.write.parquet(str(tmp_path / "t"))
+    assert store.status(spark, str(tmp_path / "t")) == "connected"
+    p = spark.createDataFrame([('{"results":[1]}',), ('{"results":[]}',), ("[",), (None,)], "p string")
+    assert [r.u for r in p.select(cache.usable_payload(F.col("p")).alias("u")).collect()] == [True, False, False, False]
+    none = F.array().cast("array<string>")
+    said = spark.range(1).select(graph.conflict_reason(F.lit("SHARED_OFFICE"), F.lit("A"), F.lit("B"), none, F.array(F.lit("x@y.z")), none, none, F.lit(0.02)).alias("s")).first().s
+    assert said == "A and B share e-mails [x@y.z] and a distance of 20 m: a shared office"

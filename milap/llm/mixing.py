@@ -72,9 +72,22 @@ def leaf_budgets(targets: pd.DataFrame, supply: pd.DataFrame, total: float) -> p
     return t
 
 
-def plan_mixes(targets: pd.DataFrame, supply: pd.DataFrame, total: float) -> pd.DataFrame:
-    """``leaf_budgets`` of every mix; one row for each (mix_id, source)."""
-    return pd.concat([leaf_budgets(g.drop(columns="mix_id"), supply, total).assign(mix_id=m) for m, g in targets.groupby("mix_id")], ignore_index=True) if len(targets) else leaf_budgets(targets.drop(columns="mix_id"), supply, total).assign(mix_id=pd.Series(dtype="int32"))
+def mix_plan(counted: DataFrame, targets: DataFrame, max_leaves: int = 100_000) -> DataFrame:
+    """``leaf_budgets`` of every mix as a table, one row for each (mix_id, source).
+
+    ``counted``: documents with ``n_tokens``; ``targets``: mix_id, source, target_share, max_repeats. The total is the tokens of all documents with a source. Targets with a null key are dropped, of
+    repeated keys the largest share and repeats count. Mixes are planned on the driver, so more than ``max_leaves`` targets or sources are a ``ValueError``.
+    """
+    wanted = targets.where("mix_id is not null and source is not null").groupBy("mix_id", "source").agg(F.max("target_share").alias("target_share"), F.max("max_repeats").alias("max_repeats"))
+    t, supply = (x.limit(max_leaves + 1).toPandas() for x in (wanted, source_supply(counted)))
+    if max(len(t), len(supply)) > max_leaves:
+        raise ValueError(f"more than {max_leaves} leaves")
+    total = float(supply.tokens.sum())
+    schema = "mix_id int, source string, target_share double, max_repeats int, domain string, language string, tokens double, capacity double, wanted double, budget double"
+    rows = [leaf_budgets(g.drop(columns="mix_id"), supply, total).assign(mix_id=m) for m, g in t.groupby("mix_id")]
+    names = [c.split()[0] for c in schema.split(", ")]
+    flat = [(int(r[0]), r[1], float(r[2]), int(r[3]), r[4], r[5], *map(float, r[6:])) for d in rows for r in d[names].itertuples(index=False)]
+    return counted.sparkSession.createDataFrame(flat, schema)
 
 
 def source_supply(counted: DataFrame) -> DataFrame:

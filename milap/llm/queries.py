@@ -41,13 +41,9 @@ def p7_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leaks.find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_items"))
 
 
-def _mix_plan(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, float]:
+def _mix_plan(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     counted = stage(mixing.count_tokens(table(spark, sf_dir, "documents").select("doc_id", "source", "lang", "page_type", "text"), "text"), "counted")
-    supply = mixing.source_supply(counted).toPandas()
-    targets = table(spark, sf_dir, "mix_targets").where("mix_id is not null and source is not null").dropDuplicates(["mix_id", "source"]).toPandas()
-    total = float(supply.tokens.sum())
-    plan = spark.createDataFrame(mixing.plan_mixes(targets, supply, total)[["mix_id", "source", "target_share", "max_repeats", "domain", "language", "tokens", "capacity", "wanted", "budget"]].astype({"mix_id": "int32", "max_repeats": "int32"}))
-    return counted, plan, total
+    return counted, mixing.mix_plan(counted, table(spark, sf_dir, "mix_targets"))
 
 
 def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -57,7 +53,7 @@ def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def p8_drawn(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Of each source of each mix: tokens wanted, budgeted and drawn, and the share reached."""
-    counted, plan, total = _mix_plan(spark, sf_dir)
+    counted, plan = _mix_plan(spark, sf_dir)
     got = mixing.draw(counted, plan).join(counted.select("doc_id", "n_tokens"), "doc_id").groupBy("mix_id", "source").agg(F.sum(F.col("copies") * F.col("n_tokens")).alias("drawn"), F.max("copies").alias("most_copies"))
     mix_total = got.groupBy("mix_id").agg(F.sum("drawn").alias("mix_drawn"))
     return plan.join(got, ["mix_id", "source"], "left").join(mix_total, "mix_id", "left").select("mix_id", "source", "target_share", "wanted", "budget", F.coalesce("drawn", F.lit(0)).alias("drawn"), F.coalesce("most_copies", F.lit(0)).alias("most_copies"), (F.coalesce("drawn", F.lit(0)) / F.col("mix_drawn")).alias("share_reached"))

@@ -82,3 +82,12 @@ def test_levels_on_held_out_documents(spark):
     held = [i for i in range(1, 400, 2)]
     assert set(got) == set(range(400)) and sum(got[i] == level[i] for i in held) / len(held) > 0.9
     assert levels.reading_levels(spark.createDataFrame(docs, "doc_id long, text string"), labels.limit(0)).count() == 0
+
+
+def test_mix_plan_and_empty_tables(spark):
+    docs = spark.createDataFrame([(1, "a", 60, "en", "blog"), (2, "b", 40, None, None), (3, None, 999, "en", "x"), (4, "b", 0, "en", None)], "doc_id long, source string, n_tokens long, lang string, page_type string")
+    targets = spark.createDataFrame([(1, "a", 0.9, 1), (1, "b", 0.1, 2), (1, "b", 0.05, 1), (2, "zz", 1.0, 5), (None, "a", 1.0, 1), (3, "a", None, None)], "mix_id int, source string, target_share double, max_repeats int")
+    got = {(r.mix_id, r.source): (r.capacity < r.wanted, round(r.budget)) for r in mixing.mix_plan(docs, targets).collect()}
+    assert got == {(1, "a"): (True, 60), (1, "b"): (False, 40), (2, "zz"): (True, 0), (3, "a"): (False, 0)}
+    assert mixing.mix_plan(docs, targets.limit(0)).count() == 0
+    assert {r.source: r.budget for r in mixing.mix_plan(docs.limit(0), targets).collect()}["zz"] == 0

@@ -771,13 +771,13 @@ def website_verification(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     e = table(spark, sf_dir, "evidence").where("domain is not null").groupBy("evidence_id").agg(F.first("domain").alias("domain"), F.first("name").alias("name"), F.first("address").alias("address"))
     e = e.select("evidence_id", urls.domain_or_host(F.col("domain")).alias("site"), text.name_key(F.col("name")).alias("k"), text.address_key(F.col("address")).alias("a")).where(~urls.third_party(F.col("site"), matching.SHARED_HOSTS))
-    # pages are met word by word, never gathered: a site's pages may be a tenth of all
-    met = e.join(docs.select("site", F.lower(F.coalesce("text", F.lit(""))).alias("body")), "site")
-    words = lambda c: F.filter(F.split(c, " "), lambda t: F.length(t) >= 3)
-    said = lambda c: F.transform(words(F.col(c)), lambda t, i: F.struct(F.lit(c).alias("c"), i.alias("i"), F.contains("body", t).alias("v")))
-    flat = met.select("evidence_id", F.explode(F.concat(said("k"), said("a"))).alias("x"))
-    held = flat.groupBy("evidence_id", "x.c", "x.i").agg(F.bool_or("x.v").alias("v")).groupBy("evidence_id").agg(*(F.sum(F.when((F.col("c") == c) & F.col("v"), 1).otherwise(0)).alias(f"n{c}") for c in ("k", "a")), *(F.sum(F.when(F.col("c") == c, 1).otherwise(0)).alias(f"t{c}") for c in ("k", "a")))
-    all_ = met.select("evidence_id").distinct().join(held, "evidence_id", "left").fillna(0)
+    # each word is looked for once in a site's pages, which are never gathered: a site's pages may be a tenth of all
+    words = lambda c: F.transform(F.filter(F.split(c, " "), lambda t: F.length(t) >= 3), lambda t, i: F.struct(F.lit(c).alias("c"), i.alias("i"), t.alias("t")))
+    asked = e.select("evidence_id", "site", F.explode(F.concat(words("k"), words("a"))).alias("x")).select("evidence_id", "site", "x.*")
+    said = asked.select("site", "t").distinct().join(docs.select("site", F.lower(F.coalesce("text", F.lit(""))).alias("body")), "site").groupBy("site", "t").agg(F.bool_or(F.contains("body", F.col("t"))).alias("v"))
+    count = lambda c, v: F.sum(F.when((F.col("c") == c) & v, 1).otherwise(0))
+    held = asked.join(said, ["site", "t"]).groupBy("evidence_id").agg(*(count(c, F.col("v")).alias(f"n{c}") for c in ("k", "a")), *(count(c, F.lit(True)).alias(f"t{c}") for c in ("k", "a")))
+    all_ = e.join(docs.select("site").distinct(), "site", "left_semi").select("evidence_id").join(held, "evidence_id", "left").fillna(0)
     share = lambda c: F.when(F.col(f"t{c}") > 0, F.col(f"n{c}") / F.col(f"t{c}")).otherwise(0.0)
     no, yes = F.lit(False), F.lit(True)
     v = scoring.verification({"gate": yes, "domain": yes, "name": share("k") >= 0.6, "phone": no, "address": share("a") >= 0.5, "email": no, "social": no}, yes)

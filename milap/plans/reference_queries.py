@@ -560,7 +560,7 @@ def expanded_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @_query(
     f"""WITH h AS (SELECT evidence_id, {s_host_or_bare('domain')} AS host, coalesce(website, '') AS url, list_filter({s_tokens(s_lenient('name'))}, lambda t: NOT list_contains([{', '.join(repr(g) for g in text.GENERIC)}], t)) AS words FROM evidence)
-      SELECT evidence_id, CASE WHEN host = '' THEN 'unverified' WHEN regexp_matches(host, '\.(sitehost|weebpage|wixsite|blogspot|wordpress)\.') THEN 'service_platform' WHEN {s_third('host')} OR regexp_matches(url, '{urls.DIRECTORY_PATH}') THEN 'directory'
+      SELECT evidence_id, CASE WHEN host = '' THEN 'unverified' WHEN regexp_matches(host, '\\.(sitehost|weebpage|wixsite|blogspot|wordpress)\\.') THEN 'service_platform' WHEN {s_third('host')} OR regexp_matches(url, '{urls.DIRECTORY_PATH}') THEN 'directory'
         WHEN len(list_filter(words, lambda t: length(t) >= 4 AND contains(host, t))) > 0 THEN 'first_party' WHEN len(words) = 0 THEN 'related_entity' ELSE 'unrelated' END AS relation FROM h"""
 )
 def website_relationships(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -29,6 +29,7 @@ _NUMBERED = re.compile(r"\b([a-z]{3,})\s*-?\s*(\d{1,2})\b")
 _PLAIN = re.compile(rf"(?:^|,)\s*{_N}\s*,?\s+([a-z]{{3,}})\s*(?=,|$)")
 _ALONE = re.compile(rf"(?:^|,)\s*{_N}\s*(?=,|$)")
 _WORD = re.compile(r"[a-z]{2,}")
+_LAND = re.compile(r"\b(?:" + "|".join(sorted(COUNTRY)) + r")\b\.?")
 _SEP = re.compile(r"[\n;|·]+| - ")
 
 
@@ -45,7 +46,7 @@ def parse_address(text: str | None) -> tuple[str, str, str, str, list[str]]:
     """
     if not text:
         return "", "", "", "", []
-    t = _SEP.sub(" , ", _NOISE.sub(" ", plain_text(text)))
+    t = _LAND.sub(" , ", _SEP.sub(" , ", _NOISE.sub(" ", plain_text(text))))
     post = _POST.search(t)
     if post:
         t = _POST.sub(" , ", t)
@@ -60,7 +61,8 @@ def parse_address(text: str | None) -> tuple[str, str, str, str, list[str]]:
         street = m[2]
         if not number:
             number = m[3] or m[1] or ""
-            t = t[: m.start()] + " , " + t[m.end() :]
+            # with a number on either side, the one before is a ward of what precedes it
+            t = t[: m.start(2) if m[3] else m.start()] + " , " + t[m.end() :]
         else:
             # a number before the street may still be a ward of what precedes it
             t = t[: m.start(2)] + " , " + (t[m.start(3) : m.end(3)] if m[3] else "") + t[m.end() :]

@@ -65,7 +65,10 @@ def mine_rewrites(forms: DataFrame, alpha: float = 0.01, ratio: float = 4.0) ->
     uses = stage(_uses(forms), "uses")
     words = stage(uses.groupBy("role", "word").agg(F.count("*").alias("n")).where("length(word) >= 4"), "words")
     total = {r["role"]: (r["v"], r["c"]) for r in words.groupBy("role").agg(F.count("*").alias("v"), F.sum("n").alias("c")).collect()}
-    keys = words.select("role", "word", "n", F.explode(F.array_distinct(_dropped(F.col("word")))).alias("key"))
+    # one letter dropped, of the word or of its consonants: a letter typed into a long vowel, which is one letter by sound, makes two more
+    bare = F.concat(F.lit("-"), F.regexp_replace("word", "[aeiou]", ""))
+    near = F.concat(_dropped(F.col("word")), F.when(F.length(bare) > 3, _dropped(bare)).otherwise(F.array(bare)))
+    keys = words.select("role", "word", "n", F.explode(F.array_distinct(near)).alias("key")).where("length(key) > 2")
     a, b = (keys.select("role", "key", F.col("word").alias(w), F.col("n").alias(m)) for w, m in (("word", "n"), ("better", "m")))
     pairs = a.join(b, ["role", "key"]).where((F.col("m") >= ratio * F.col("n")) & (F.col("word") != F.col("better"))).select("role", "word", "n", "better", "m").distinct().withColumn("far", F.levenshtein("word", "better"))
     pairs = stage(pairs.where("far <= 2"), "pairs")
@@ -124,11 +127,11 @@ def registry_aliases(localities: DataFrame) -> DataFrame:
     return out.groupBy("alias").agg(F.min("locality").alias("locality"), F.max("locality").alias("hi")).where("locality = hi and alias <> ''").select("alias", "locality")
 
 
-def _righted(forms: DataFrame, registry: DataFrame, seen: int = 5) -> DataFrame:
-    """``forms`` where a locality stands for the street, and a word that elsewhere is a street among the places, with the two exchanged."""
-    names = registry.select(F.col("alias").alias("street"))
-    streets = forms.groupBy("street").agg(F.count("*").alias("c")).where(F.col("c") >= seen).join(names, "street", "left_anti").select(F.col("street").alias("_street"))
-    odd = forms.join(names, "street", "left_semi").select("form", F.explode("places").alias("_street")).join(streets, "_street").groupBy("form").agg(F.min("_street").alias("_street"))
+def _righted(forms: DataFrame, seen: int = 5) -> DataFrame:
+    """``forms`` where a word that mostly names places stands for the street, and one that mostly names streets among the places, with the two exchanged."""
+    use = forms.select(F.col("street").alias("w"), F.lit(1).alias("s"), F.lit(0).alias("p")).unionByName(forms.select(F.explode("places").alias("w"), F.lit(0).alias("s"), F.lit(1).alias("p")))
+    kind = stage(use.groupBy("w").agg(F.sum("s").alias("s"), F.sum("p").alias("p")).where(F.col("s") + F.col("p") >= seen), "kinds")
+    odd = forms.join(kind.where("p > s").select(F.col("w").alias("street")), "street", "left_semi").select("form", F.explode("places").alias("w")).join(kind.where("s > p"), "w").groupBy("form").agg(F.max_by("w", F.struct("s", "w")).alias("_street"))
     out = forms.join(odd, "form", "left")
     return out.withColumn("places", F.when(F.col("_street").isNull(), F.col("places")).otherwise(F.concat(F.array("street"), F.array_remove("places", F.col("_street"))))).withColumn("street", F.coalesce("_street", "street")).drop("_street")
 
@@ -147,7 +150,7 @@ def building_keys(rows: DataFrame, localities: DataFrame, max_rounds: int = 3) -
             break
         forms = stage(rewritten(forms, found), "forms")
     registry = stage(registry_aliases(localities), "registry")
-    placed = stage(located(_righted(forms, registry), registry), "placed")
+    placed = stage(located(_righted(forms), registry), "placed")
     sure = placed.where("place is not null").select("form", F.xxhash64("street", "number", "place").alias("building"))
     # by town: the words beside the locality's in placed addresses
     known = placed.where("place is not null").select("street", "number", F.explode("places").alias("town"), "place").distinct().groupBy("street", "number", "town").agg(F.min("place").alias("lo"), F.max("place").alias("hi"))

@@ -45,9 +45,15 @@ def match_digits(x: Column) -> Column:
 
 def classify(raw: Column) -> Column:
     """Struct ``(type, digits, reason)``: mobile, landline, international or invalid, canonical digits, and why invalid."""
-    c = sanitize(raw)
-    d0 = digits_of(c)
-    d = F.when(d0.startswith("977977"), F.substring(d0, 4, 60)).otherwise(d0)
+    # each part is bound once, else the ladder would hold its whole text again and again
+    return _let(sanitize(raw), lambda c: _let(digits_of(c), lambda d0: _let(F.when(d0.startswith("977977"), F.substring(d0, 4, 60)).otherwise(d0), lambda d: _ladder(raw, c, d0, d))))
+
+
+def _let(value: Column, body) -> Column:
+    return F.transform(F.array(value), lambda v: body(v))[0]
+
+
+def _ladder(raw: Column, c: Column, d0: Column, d: Column) -> Column:
     rest = F.substring(d, 4, 60)
     out = lambda kind, digits, reason=None: F.struct(F.lit(kind).alias("type"), digits.alias("digits"), F.lit(reason).cast("string").alias("reason"))
     balanced = F.length(F.regexp_replace(c, r"[^(]", "")) == F.length(F.regexp_replace(c, r"[^)]", ""))

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from milap.session import stage
+from milap.session import settle, stage
 
 EARTH_KM = 6371.0
 #: Kilometres of a degree of latitude, rounded down, so that margins in degrees are never too small.
@@ -110,7 +110,9 @@ def _cut(edges: DataFrame, spots: DataFrame, most: int) -> DataFrame:
     Crowded tiles are few: at most rows / ``most``.
     """
     parts = lambda df, c: df.groupBy("tile").agg(F.count("*").alias("c")).where(F.col("c") > most).select("tile", F.ceil(F.col("c") / most).cast("int").alias(c))
-    crowded = parts(edges, "m").join(parts(spots, "n"), "tile", "full").select("tile", F.coalesce("m", F.lit(1)).alias("m"), F.coalesce("n", F.lit(1)).alias("n"))
+    crowded = stage(parts(edges, "m").join(parts(spots, "n"), "tile", "full").select("tile", F.coalesce("m", F.lit(1)).alias("m"), F.coalesce("n", F.lit(1)).alias("n")), "crowded")
+    if not crowded.limit(1).count():
+        return edges.unionByName(spots)
     own = lambda k: F.pmod(F.xxhash64("id"), F.col(k)).cast("int")
     every = lambda k: F.explode(F.sequence(F.lit(0), F.col(k) - 1))
 
@@ -118,7 +120,7 @@ def _cut(edges: DataFrame, spots: DataFrame, most: int) -> DataFrame:
         hot = df.join(crowded, "tile").withColumn("e", e).withColumn("s", s).withColumn("tile", F.xxhash64("tile", "e", "s")).select(*df.columns)
         return df.join(crowded.select("tile"), "tile", "left_anti").select(*df.columns).unionByName(hot)
 
-    return spread(edges, own("m"), every("n")).unionByName(spread(spots, every("m"), own("n")))
+    return stage(spread(edges, own("m"), every("n")).unionByName(spread(spots, every("m"), own("n"))), "cells")
 
 
 def discs_over_points(regions: DataFrame, points: DataFrame, slab_deg: float, tile_deg: float, most: int = 500_000) -> DataFrame:
@@ -129,6 +131,7 @@ def discs_over_points(regions: DataFrame, points: DataFrame, slab_deg: float, ti
     never hit; empty tables give no hits. The date line is not crossed. Tiles of more than ``most`` edges or points are cut into cells. One
     shuffle of ids, tags and coordinates, besides the counts by tile.
     """
+    settle(points.sparkSession)
     tiles_over = 1 << 20
     r, p = _known(regions, "lat", "lng", "radius").where("radius >= 0"), _known(points, "lat", "lng")
     high, half = F.col("radius") / KM_PER_DEGREE + 1e-9, _half_width_col(F.col("lat"), F.col("radius"))

@@ -8,8 +8,18 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 
+def settle(spark: SparkSession) -> None:
+    """Turn off a union's claim to its children's partitioning.
+
+    With it Spark 4.1 drops the exchange after a union of exchanges, while adaptive execution still coalesces each child by itself, so that
+    rows of one key end up in different partitions and are lost to whatever needs them together.
+    """
+    spark.conf.set("spark.sql.unionOutputPartitioning", "false")
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One of the input tables, columns pruned by whatever is selected from it."""
+    settle(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -27,6 +37,7 @@ def stage(df: DataFrame, label: str = "stage") -> DataFrame:
 
     Cuts the lineage in a way that survives the loss of executors, and gives the optimizer true sizes for what follows.
     """
+    settle(df.sparkSession)
     path = f"{shared_dir(df.sparkSession)}/{label}-{uuid.uuid4().hex}"
     df.write.option("compression", "lz4").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)

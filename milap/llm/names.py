@@ -112,11 +112,24 @@ def _decided(candidates: DataFrame) -> DataFrame:
     return top.where("b.lo = b.hi").select("form", F.col("b.lo").alias("entity"))
 
 
-def resolve(ours: DataFrame, theirs: DataFrame, left_contacts: DataFrame, right_contacts: DataFrame, max_rounds: int = 4, shared_by: int = 20) -> tuple[DataFrame, DataFrame]:
+def _near(x: Column, y: Column) -> Column:
+    """Is ``x`` a misspelling of the brand word ``y``."""
+    return F.levenshtein(x, y) <= F.when(F.length(y) >= 6, 2).otherwise(1)
+
+
+def _near_words(asked: DataFrame, known: DataFrame) -> DataFrame:
+    """All ``(w, y)`` of the distinct words ``asked`` and ``known`` that are near: words within an edit distance share what is left of them without so many letters."""
+    cut = lambda x, twice: F.array_distinct(F.when(twice, F.flatten(F.transform(_dropped(x), _dropped))).otherwise(_dropped(x)))
+    w = asked.select("w", F.explode(cut(F.col("w"), F.length("w") >= 4)).alias("k"))
+    y = known.select("y", F.explode(cut(F.col("y"), F.length("y") >= 6)).alias("k"))
+    return w.join(y, "k").select("w", "y").distinct().where(_near(F.col("w"), F.col("y")))
+
+
+def resolve(ours: DataFrame, theirs: DataFrame, left_contacts: DataFrame, right_contacts: DataFrame, max_rounds: int = 4, crowded: int = 20) -> tuple[DataFrame, DataFrame]:
     """Entities of the rows of two tables: ``(owner, entity)`` for the left's owners, ``(id, entity)`` for the right's rows.
 
     Both are ``parsed``; rows of one owner are known to be one business, the right's owner is not used. Contacts: ``(owner, contact)`` and
-    ``(id, contact)``, phones and hosts as strings. A contact of more than ``shared_by`` entities decides nothing. Rows whose name means nothing, and rows that nothing decides, are in no result. Repeated rows don't matter.
+    ``(id, contact)``, phones and hosts as strings. A contact of more than ``crowded`` entities is asked by near words, which changes the plan and not the result. Rows whose name means nothing, and rows that nothing decides, are in no result. Repeated rows don't matter.
     """
     # profiles: owners, and owners that state one and the same full form are one
     stated = ours.where(_is_full()).groupBy("form").agg(F.min("owner").alias("entity"), F.max("owner").alias("other"), F.first("words").alias("words"), F.first("trade").alias("trade"))
@@ -170,17 +183,23 @@ def resolve(ours: DataFrame, theirs: DataFrame, left_contacts: DataFrame, right_
     rest_owners = stage(weak_owners.join(owners, "owner", "left_anti").select("owner", "words", "trade").join(left_contacts, "owner"), "rest_owners")
     asked = stage(rest_rows.select("contact").unionByName(rest_owners.select("contact")).distinct(), "asked")
     contact = stage(left_contacts.join(asked, "contact", "left_semi").join(owners, "owner").select("contact", "entity").unionByName(right_contacts.join(asked, "contact", "left_semi").join(right_rows, "id").select("contact", "entity")).distinct(), "contact")
-    # a contact of many is a directory's or a stopgap and tells nobody
-    contact = contact.join(contact.groupBy("contact").agg(F.count("*").alias("n")).where(F.col("n") <= shared_by).select("contact"), "contact")
+    crowd = stage(contact.groupBy("contact").agg(F.count("*").alias("n")).where(F.col("n") > crowded).select("contact"), "crowd")
+    rest = stage(rest_rows.select(F.lit(False).alias("ours"), "id", "words", "trade", "contact").unionByName(rest_owners.select(F.lit(True).alias("ours"), F.col("owner").alias("id"), "words", "trade", "contact")), "rest")
     a, b = F.array_min("p.words"), F.array_max("p.words")
-    near = lambda x, y: F.levenshtein(x, y) <= F.when(F.length(y) >= 6, 2).otherwise(1)
-
-    def by_contact(rest: DataFrame, c: str) -> DataFrame:
-        pairs = rest.join(contact, "contact").select(c, "words", "trade", "entity").distinct().alias("r").join(spellings.alias("p"), F.col("r.entity") == F.col("p.entity"))
-        fit = pairs.where(((F.col("r.trade") == "") | (F.col("r.trade") == F.col("p.trade"))) & F.exists("r.words", lambda w: (F.length(w) > 2) & (near(w, a) | near(w, b) | near(w, _run_together(a, b)) | near(w, _run_together(b, a)))))
-        return fit.select(f"r.{c}", "r.entity").distinct().groupBy(c).agg(F.count("*").alias("n"), F.min("entity").alias("entity")).where("n = 1").select(c, "entity")
-
-    return owners.unionByName(by_contact(rest_owners, "owner")), right_rows.unionByName(by_contact(rest_rows, "id"))
+    brands = F.array_distinct(F.array(a, b, _run_together(a, b), _run_together(b, a)))
+    few = rest.join(contact.join(crowd, "contact", "left_anti"), "contact").select("ours", "id", "contact", "words", "trade", "entity").distinct().alias("r").join(spellings.alias("p"), F.col("r.entity") == F.col("p.entity"))
+    few = few.where(((F.col("r.trade") == "") | (F.col("r.trade") == F.col("p.trade"))) & F.exists("r.words", lambda w: (F.length(w) > 2) & F.exists(brands, lambda y: _near(w, y)))).select("r.ours", "r.id", "r.contact", F.col("r.entity").alias("lo"), F.col("r.entity").alias("hi"))
+    # in a crowd, words meet near words only, and of the entities that say a word the smallest and the largest tell whether it is one
+    said = contact.join(crowd, "contact").join(spellings.alias("p"), "entity").select("contact", "entity", "p.trade", F.explode(brands).alias("y"))
+    said = stage(said.select("contact", "entity", "y", F.explode(F.array_distinct(F.array("trade", F.lit("")))).alias("trade")).groupBy("contact", "y", "trade").agg(F.min("entity").alias("lo"), F.max("entity").alias("hi")), "said")
+    asking = stage(rest.join(crowd, "contact").select("ours", "id", "contact", "trade", F.explode(F.array_distinct(F.filter("words", lambda w: F.length(w) > 2))).alias("w")), "asking")
+    near = stage(_near_words(asking.select("w").distinct(), said.select("y").distinct()), "near")
+    heard = asking.select("contact", "w", "trade").distinct().join(near, "w").join(said, ["contact", "y", "trade"]).groupBy("contact", "w", "trade").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"))
+    many = asking.join(heard, ["contact", "w", "trade"]).select("ours", "id", "contact", "lo", "hi")
+    # a contact decides if it leaves one entity; contacts that decide must agree
+    left_one = few.unionByName(many).groupBy("ours", "id", "contact").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi")).where("lo = hi")
+    one = stage(left_one.groupBy("ours", "id").agg(F.min("lo").alias("lo"), F.max("lo").alias("hi")).where("lo = hi").select("ours", "id", F.col("lo").alias("entity")), "one")
+    return owners.unionByName(one.where("ours").select(F.col("id").alias("owner"), "entity")), right_rows.unionByName(one.where("not ours").select("id", "entity"))
 
 
 def phone_digits(c: Column) -> Column:

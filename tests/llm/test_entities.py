@@ -65,6 +65,25 @@ def test_variant_pairs(spark):
     assert names.variant_pairs(listings.limit(0), evidence).count() == 0
 
 
+def test_contact_of_a_crowd_still_decides_by_a_brand_word(spark):
+    rng = random.Random(21)
+    word = lambda: "".join(rng.choice("bdgklmnprt") + rng.choice("aeiou") for _ in range(4)).title()
+    brands = [(word(), word()) for _ in range(60)]
+    listings = spark.createDataFrame([(i, f"k{i}", f"{a} {b} Gym", [], [], ["crowd.example"]) for i, (a, b) in enumerate(brands)] + [(60, "k60", f"{brands[0][0]} {word()} Gym", [], [], ["crowd.example"])], LISTING)
+    asked = [(100 + i, f"{brands[i][1]}", None, "crowd.example", "x") for i in range(1, 6)] + [(110, f"{brands[7][1][:3]}{brands[7][1][4:]}", None, "crowd.example", "x"), (111, brands[0][0], None, "crowd.example", "x"), (112, brands[8][1], None, "other.example", "x"), (113, f"{brands[9][1]} Cafe", None, "crowd.example", "x")]
+    got = {tuple(r) for r in names.variant_pairs(listings, spark.createDataFrame(asked, EVIDENCE)).collect()}
+    # 111 is a word of two, 112 has another host, 113 another trade
+    assert got == {(i, 100 + i) for i in range(1, 6)} | {(7, 110)}
+
+
+def test_near_words_against_brute_force(spark):
+    rng = random.Random(22)
+    made = lambda n: sorted({"".join(rng.choice("ab") for _ in range(rng.randint(3, 9))) for _ in range(n)})
+    w, y = made(60), made(60)
+    got = {tuple(r) for r in names._near_words(spark.createDataFrame([(x,) for x in w], "w string"), spark.createDataFrame([(x,) for x in y], "y string")).collect()}
+    assert got == {(a, b) for a in w for b in y if survivor.distance(a, b) <= (2 if len(b) >= 6 else 1)}
+
+
 def test_same_building(spark):
     streets = ["Yogasel", "Varum", *"Hapuhe Bothoval Kshuku Tuhot Jeprepa Matuba Risuyat Gibrane Brami Heelana Pradhaaphi Krikrur Bepepree Lophil".split()]
     rows = [(i, f"{s} Marg {h}, Miyel, Ward 1, Seelot") for i, (s, h) in enumerate((s, h) for s in streets for h in range(1, 9))]

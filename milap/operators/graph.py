@@ -57,18 +57,18 @@ def score_conflict(shared_phones: Column, shared_emails: Column, shared_hosts: C
     return F.struct(F.when(confidence >= 0.30, kind).alias("type"), confidence.alias("confidence"))
 
 
-def conflict_pairs(view: DataFrame, hub: int = 200) -> DataFrame:
+def conflict_pairs(view: DataFrame, block: int = 200) -> DataFrame:
     """``(a, b, type, confidence)`` between classes of ``contact_view`` that share a contact, ``a < b``.
 
-    Candidates come from an equi-join on shared values. A value of more than ``hub`` classes (a directory's phone, a stopgap) links each of them to the first only, which keeps them
-    connected without all pairs of the crowd; pairs in the crowd that share another value are found by that. Pairs that share nothing but nearness are found by the slab search and are no part of this.
+    Candidates come from an equi-join on shared values. The classes of a value are cut into blocks of about ``block`` by a hash, and blocks meet in twos, so that no task holds all pairs of a value that
+    many share (a directory's phone, a stopgap); every pair is met, whatever their number. Pairs that share nothing but nearness are found by the slab search and are no part of this.
     """
     marked = lambda c: F.transform(c, lambda v: F.concat(F.lit(c[0]), v))
     value = view.select("rep", F.explode(F.concat(*map(marked, ("phones", "emails", "hosts", "socials")))).alias("v"))
-    value = value.join(value.groupBy("v").agg(F.count("*").alias("n"), F.min("rep").alias("first")).where("n > 1"), "v")
-    few = value.where(F.col("n") <= hub)
-    star = value.where(F.col("n") > hub).select(F.col("first").alias("a"), F.col("rep").alias("b"))
-    met = few.select(F.col("rep").alias("a"), "v").join(few.select(F.col("rep").alias("b"), "v"), "v").select("a", "b").unionByName(star).where("a < b").distinct()
+    value = stage(value.join(value.groupBy("v").agg(F.count("*").alias("n")).where("n > 1"), "v").withColumn("blocks", F.ceil(F.col("n") / block).cast("int")).withColumn("k", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int")), "values")
+    low = value.select("v", F.col("rep").alias("x"), F.col("k").alias("i"), F.explode(F.sequence("k", F.col("blocks") - 1)).alias("j"))
+    high = value.select("v", F.col("rep").alias("y"), F.explode(F.sequence(F.lit(0), F.col("k"))).alias("i"), F.col("k").alias("j"))
+    met = low.join(high, ["v", "i", "j"]).where("x <> y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
     x, y = (view.select(*(F.col(c).alias(f"{p}_{c}" if c != "rep" else p) for c in view.columns)) for p in ("a", "b"))
     both = met.join(x, "a").join(y, "b")
     shared = [F.array_intersect(f"a_{c}", f"b_{c}") for c in ("phones", "emails", "hosts", "socials")]

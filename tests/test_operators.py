@@ -85,6 +85,15 @@ def test_conflicts_and_merge(spark):
     assert graph.merge_duplicates(df, many).first().suspected
 
 
+def test_conflicts_of_a_crowd_are_all_pairs(spark):
+    rows = [listing(i, f"Place {i}", phones=["01-4311600"] if i < 230 else [], emails=["info@o.example"] if i >= 220 else []) for i in range(240)]
+    view = graph.contact_view(spark.createDataFrame(rows, SCHEMA))
+    want = {(a, b) for a in range(240) for b in range(a + 1, 240) if b < 230 or a >= 220}
+    for block in (200, 7):
+        got = [(r.a, r.b) for r in graph.conflict_pairs(view, block).select("a", "b").collect()]
+        assert len(got) == len(set(got)) and set(got) == want
+
+
 def test_pair_cascade(spark):
     cols = "id long, name string, phone string, site string, address string"
     a = spark.createDataFrame([(1, "Om Samaj Dental", "01-4311600", None, "x"), (2, "Lone Peak Trekking Agency", None, None, "5 hill road"), (3, None, None, None, None)], cols)

@@ -15,7 +15,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 _WORD = re.compile(r"[^\W_]+")
@@ -170,20 +170,32 @@ def _shard_hits(docs: list, texts: list[list[str]], starts: list[int], plan, len
         # too few phrases to reach the least share, even if none overlap
         if sizes[i] == 0 or (b - a) * length < least * sizes[i]:
             continue
-        n_, x, y = _cover(at_[a:b], pos[a:b], length, counts[i])
-        if n_ >= least * sizes[i]:
-            out.append((docs[k], i, n_, sizes[i], starts[k] + x, starts[k] + y))
+        out += ((docs[k], i, n_, sizes[i], starts[k] + x, starts[k] + y) for n_, x, y in _covers(at_[a:b], pos[a:b], length, counts[i], least * sizes[i]))
     return pd.DataFrame(out, columns=["doc_id", "item", "covered", "item_words", "start_word", "end_word"])
 
 
-def _cover(at: np.ndarray, pos: np.ndarray, length: int, counts: np.ndarray) -> tuple[int, int, int]:
-    """Most counting words of the item covered by phrases whose places in the document keep near one line, and their span.
+def _covers(at: np.ndarray, pos: np.ndarray, length: int, counts: np.ndarray, need: float) -> list[tuple[int, int, int]]:
+    """Copies of the item: ``(counting words covered, start, end)`` of each set of phrases near one line that covers ``need`` words or more.
 
-    Phrases count together if their offsets (place minus position in the item) differ by at most a quarter of the item's length.
+    Phrases count together if their offsets (place minus position in the item) differ by at most a quarter of the item's length. Of sets that share phrases the fullest is
+    taken first, the earliest of equals; what is left of the others counts again by itself.
     """
+    order = np.argsort(pos - at, kind="stable")
+    at, pos = at[order], pos[order]
+    out, todo = [], [(0, len(at))]
+    while todo:
+        lo, hi = todo.pop()
+        n, a, b = _fullest(at[lo:hi], pos[lo:hi], length, counts)
+        if n and n >= need:
+            a, b = lo + a, lo + b
+            out.append((n, int(pos[a:b].min()), int(pos[a:b].max()) + length))
+            todo += [(lo, a), (b, hi)]
+    return sorted(out, key=lambda x: x[1:])
+
+
+def _fullest(at: np.ndarray, pos: np.ndarray, length: int, counts: np.ndarray) -> tuple[int, int, int]:
+    """Most counting words of the item that phrases in one window of offsets cover, and the window [a, b) of the phrases, which are sorted by offset."""
     shift = pos - at
-    order = np.argsort(shift, kind="stable")
-    shift, at, pos = shift[order], at[order], pos[order]
     ends = np.searchsorted(shift, shift + max(8, len(counts) // 4), "right")
     best, last = (0, 0, 0), -1
     for a in range(len(shift)):
@@ -194,18 +206,18 @@ def _cover(at: np.ndarray, pos: np.ndarray, length: int, counts: np.ndarray) ->
         for j in range(length):
             mask[at[a : ends[a]] + j] = True
         if (n := int((mask & counts).sum())) > best[0]:
-            best = (n, int(pos[a : ends[a]].min()), int(pos[a : ends[a]].max()) + length)
+            best = (n, a, int(ends[a]))
     return best
 
 
 def find_leaks(docs: DataFrame, items: DataFrame, *, doc_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", phrase: int = 4, least: float = 0.47, common: float = 0.02, shard_words: int = 400_000, max_items: int = 100_000) -> DataFrame:
-    """``(doc_id, item_id, covered, item_words, start_word, end_word)``: documents that hold at least ``least`` of an item's words.
+    """``(doc_id, item_id, covered, item_words, start_word, end_word)``: spans of documents that hold at least ``least`` of an item's words, one row for each copy.
 
     Words are taken over if they lie in a phrase of ``phrase`` words that is unchanged, near the other phrases of the item and in
     its order. Words in phrases that many items share (``common``) count neither for the item's size nor as taken over.
     Items are the query side: they are read by the driver and must be at most ``max_items``, else ``ValueError``. Documents
     are read whole; one longer than a shard is cut into parts that overlap by more than two items. Null and empty texts, and
-    items of fewer words than a phrase, match nothing. ``start_word`` and ``end_word`` bound the words to remove.
+    items of fewer words than a phrase, match nothing. ``start_word`` and ``end_word`` bound the words to remove; spans of one document and item don't overlap.
     """
     few = items.where(F.col(item_text).isNotNull()).select(F.col(item_col).alias("item_id"), F.col(item_text).alias("text")).limit(max_items + 1).toPandas().sort_values("item_id", ignore_index=True)
     if len(few) > max_items:
@@ -241,5 +253,8 @@ def find_leaks(docs: DataFrame, items: DataFrame, *, doc_col: str = "doc_id", te
             yield from flush()
 
     hits = docs.where(F.col(doc_col).isNotNull()).select(F.col(doc_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(search, "doc_id long, item_id long, covered long, item_words long, start_word long, end_word long")
-    best = F.max(F.struct("covered", -F.col("start_word"), "item_words", "start_word", "end_word")).alias("b")
-    return hits.groupBy("doc_id", "item_id").agg(best).select("doc_id", "item_id", "b.covered", "b.item_words", "b.start_word", "b.end_word")
+    # copies that overlap, of one part or of two, are one span
+    by = Window.partitionBy("doc_id", "item_id").orderBy("start_word", "end_word")
+    so_far = F.max("end_word").over(by.rowsBetween(Window.unboundedPreceding, -1))
+    span = hits.withColumn("new", F.when(F.col("start_word") < so_far, 0).otherwise(1)).withColumn("span", F.sum("new").over(by.rowsBetween(Window.unboundedPreceding, 0)))
+    return span.groupBy("doc_id", "item_id", "span").agg(F.max("covered").alias("covered"), F.max("item_words").alias("item_words"), F.min("start_word").alias("start_word"), F.max("end_word").alias("end_word")).drop("span")

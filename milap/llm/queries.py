@@ -33,11 +33,11 @@ SELECT CAST(node AS BIGINT) AS listing_index, CAST(min(m) AS BIGINT) AS group_id
 
 def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents with at least about half of an item's words, and the items."""
-    return p7_spans(spark, sf_dir).select("doc_id", "item_id")
+    return p7_spans(spark, sf_dir).select("doc_id", "item_id").distinct()
 
 
 def p7_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The same with the words covered and the span to remove."""
+    """The same with the words covered and each span to remove."""
     return leaks.find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_items"))
 
 

@@ -39,6 +39,15 @@ def test_leaks(spark):
     assert leaks.find_leaks(docs.limit(0), items).count() == 0 and leaks.find_leaks(docs, items.limit(0)).count() == 0
 
 
+def test_every_copy_is_a_span(spark):
+    n, filler = len(ITEM.split()), "one two three four five six seven eight nine ten eleven twelve "
+    docs = spark.createDataFrame([(1, filler + ITEM + " " + filler + ITEM + " " + filler * 100 + ITEM), (2, ITEM + " " + ITEM), (3, filler * 20 + ITEM + " " + filler * 20)], "doc_id long, text string")
+    items = spark.createDataFrame([(50, ITEM)], "item_id long, text string")
+    for shard in (400_000, 30):
+        got = sorted((r.doc_id, r.start_word, r.end_word, r.covered) for r in leaks.find_leaks(docs, items, shard_words=shard).collect())
+        assert got == [(1, 12, 12 + n, n), (1, 24 + n, 24 + 2 * n, n), (1, 1224 + 2 * n, 1224 + 3 * n, n), (2, 0, n, n), (2, n, 2 * n, n), (3, 240, 240 + n, n)]
+
+
 def test_leaf_budgets_hand_shortages_to_siblings_first():
     targets = pd.DataFrame({"source": ["a", "b", "c", "d"], "target_share": [0.4, 0.2, 0.2, 0.2], "max_repeats": [1, 3, 3, 3]})
     supply = pd.DataFrame({"source": ["a", "b", "c"], "domain": ["x", "x", "y"], "language": ["en", "en", "en"], "tokens": [10, 100, 100]})

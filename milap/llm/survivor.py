@@ -79,22 +79,24 @@ def _add(profile: list[dict], other: list[dict], weight: float, held: float) ->
     return out
 
 
+def _aligned(values: list[tuple[str, float]]) -> list[dict]:
+    """Profile of values with weights, aligned one after the other, heaviest first, ties by value; these may be a part of a group."""
+    profile, held = [], 0.0
+    for v, w in sorted(values, key=lambda x: (-x[1], x[0])):
+        profile = _add(profile, [{t: w} for t in v], w, held) if held else [{t: w} for t in v]
+        held += w
+    return profile
+
+
 def profile_of(values: list[tuple[str, float]]) -> list[dict]:
-    """Profile of values with weights, aligned one after the other, heaviest first, ties by value.
+    """Profile of a whole group's values with weights.
 
-    If one value outweighs all the others together, it wins every column however they are aligned, and is the profile by itself.
+    If one value outweighs all the others together, it wins every column however they are aligned, and is the profile by itself. That holds for no part of a group.
     """
-    order = sorted(values, key=lambda x: (-x[1], x[0]))
-    if not order:
-        return []
-    total = sum(w for _, w in order)
-    if order[0][1] > total - order[0][1]:
-        return [{t: total} for t in order[0][0]]
-    profile, held = [{t: order[0][1]} for t in order[0][0]], order[0][1]
-    for v, w in order[1:]:
-        profile = _add(profile, [{t: w} for t in v], w, held)
-        held += w
-    return profile
+    total, top = sum(w for _, w in values), max(values, key=lambda x: x[1], default=("", 0.0))
+    if top[1] > total - top[1]:
+        return [{t: total} for t in top[0]]
+    return _aligned(values)
 
 
 def consensus(profile: list[dict]) -> str:
@@ -137,7 +139,7 @@ def _groups(batches: Iterator[pa.RecordBatch], n_keys: int) -> Iterator[tuple[tu
 def _partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     out = []
     for (g, _), rows in _groups(batches, 2):
-        out.append((g, json.dumps(profile_of(rows)), sum(w for _, w in rows)))
+        out.append((g, json.dumps(_aligned(rows)), sum(w for _, w in rows)))
     if out:
         yield pa.RecordBatch.from_arrays([pa.array(x) for x in zip(*out, strict=True)], ["g", "profile", "weight"])
 

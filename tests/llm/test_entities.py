@@ -147,6 +147,15 @@ def test_closest_to_consensus_in_parts(spark):
         assert got["h"] == "one" and got["t"] in "ab" and survivor.distance(got["g"], base) <= 1
 
 
+def test_parts_keep_the_votes_of_all_values():
+    import pyarrow as pa
+
+    rows = [("g", 0, "abcx", 3.0), ("g", 0, "abcy", 2.0), ("g", 1, "abzy", 2.0)]
+    parts = survivor._partial([pa.RecordBatch.from_pylist([dict(zip("gpvw", r, strict=True)) for r in rows])])
+    said = list(survivor._merged(parts))
+    assert said[0].to_pylist() == [{"g": "g", "said": "abcy"}] and survivor.consensus(survivor.profile_of([r[2:] for r in rows])) == "abcy"
+
+
 def test_survivors(spark):
     ts = __import__("datetime").datetime
     cols = "canonical_key string, source string, phones array<string>, emails array<string>, websites array<string>, social_links struct<facebook:string>, extracted_at timestamp_ntz, ingested_at timestamp_ntz"

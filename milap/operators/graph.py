@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from milap.functions import contacts, phones, text, urls
@@ -14,11 +14,11 @@ from milap.session import stage
 SEVERITY = {"DUPLICATE_MAPS_LISTING": 4, "POSSIBLY_SAME_ENTITY": 3, "RELATED_BRAND": 2, "SHARED_OFFICE": 1, "NO_CONFLICT": 0}
 
 
-def contact_view(listings: DataFrame, shared: tuple[str, ...] = SHARED_HOSTS) -> DataFrame:
-    """One row for each class of listings that say the same: ``(rep, copies, name_key, phones, emails, hosts, socials, lat, lng)``.
+SAID = ("name_key", "phones", "emails", "hosts", "socials", "lat", "lng")
 
-    ``rep`` is the class's smallest index. Values are in the forms that are compared, sorted; nulls count as none.
-    """
+
+def contacts_said(listings: DataFrame, shared: tuple[str, ...] = SHARED_HOSTS) -> DataFrame:
+    """``listing_index`` and what the listing says, in the forms that are compared, sorted; nulls count as none."""
     arr = lambda c: F.coalesce(F.col(c), F.array().cast("array<string>"))
     tidy = lambda x: F.array_sort(F.array_distinct(x))
     digits = F.filter(F.transform(F.concat(arr("phones"), arr("mobiles")), phones.match_digits), lambda d: F.length(d) >= 7)
@@ -28,10 +28,23 @@ def contact_view(listings: DataFrame, shared: tuple[str, ...] = SHARED_HOSTS) ->
         F.transform(F.concat(F.array("social_links.facebook", "social_links.tiktok", "social_links.instagram"), F.coalesce(F.map_values("social_links.other"), F.array().cast("array<string>"))), lambda u: F.regexp_replace(F.lower(F.trim(u)), "/+$", "")),
         lambda u: u.isNotNull() & (u != ""),
     )
-    view = listings.where("listing_index is not null").select(
+    return listings.where("listing_index is not null").select(
         "listing_index", text.name_key(F.col("name")).alias("name_key"), tidy(digits).alias("phones"), tidy(mails).alias("emails"), tidy(hosts).alias("hosts"), tidy(links).alias("socials"), F.col("latitude").alias("lat"), F.col("longitude").alias("lng")
     )
-    return view.groupBy("name_key", "phones", "emails", "hosts", "socials", "lat", "lng").agg(F.min("listing_index").alias("rep"), F.count("*").alias("copies"))
+
+
+def contact_view(listings: DataFrame, shared: tuple[str, ...] = SHARED_HOSTS) -> DataFrame:
+    """One row for each class of listings that say the same: ``(rep, copies, name_key, phones, emails, hosts, socials, lat, lng)``; ``rep`` is the class's smallest index."""
+    return contacts_said(listings, shared).groupBy(*SAID).agg(F.min("listing_index").alias("rep"), F.count("*").alias("copies"))
+
+
+def conflict_kinds(listings: DataFrame) -> DataFrame:
+    """``(listing_index, type)``: the kinds of conflict of each listing, with those of its own class too."""
+    own = stage(contacts_said(listings).withColumn("rep", F.min("listing_index").over(Window.partitionBy(*SAID))), "said")
+    view = stage(own.groupBy("rep", *SAID).agg(F.count("*").alias("copies")), "view")
+    pairs = conflict_pairs(view).select("type", F.explode(F.array("a", "b")).alias("rep"))
+    same = view.where("copies > 1").select(score_conflict(F.col("phones"), F.col("emails"), F.col("hosts"), F.col("socials"), F.when(F.col("lat").isNotNull() & F.col("lng").isNotNull(), 0.0), F.lit(1.0))["type"].alias("type"), "rep").where("type is not null")
+    return own.select("listing_index", "rep").join(pairs.unionByName(same).distinct(), "rep").select("listing_index", "type")
 
 
 def score_conflict(shared_phones: Column, shared_emails: Column, shared_hosts: Column, shared_socials: Column, km: Column, name_similarity: Column) -> Column:

@@ -8,9 +8,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from milap.functions import phones, urls
-from milap.operators import gates, matching, ranking, scoring
+from milap.functions import contacts, phones, social, text, urls
+from milap.operators import gates, graph, matching, ranking, scoring
 from milap.operators.geography import requested_status
+from milap.session import stage
 
 
 def candidates(places: DataFrame, evidence: DataFrame, localities: DataFrame) -> DataFrame:
@@ -34,22 +35,58 @@ def candidates(places: DataFrame, evidence: DataFrame, localities: DataFrame) ->
     return maps.unionByName(web)
 
 
+def site_signs(found: DataFrame, pages: DataFrame) -> DataFrame:
+    """``(candidate, said_name, said_phone, said_address)``: what of a candidate ``(candidate, site, name, phone, address)`` the texts ``(site, text)`` of its site say.
+
+    Each word is looked for once in a site's pages, which are never gathered.
+    """
+    own = found.join(pages.select("site").distinct(), "site", "left_semi")
+    words = lambda c, k: F.transform(F.filter(F.split(k, " "), lambda t: F.length(t) >= 3), lambda t, i: F.struct(F.lit(c).alias("c"), i.alias("i"), t.alias("t")))
+    asked = own.select("candidate", "site", F.explode(F.concat(words("n", text.name_key(F.coalesce("name", F.lit("")))), words("a", text.address_key(F.coalesce("address", F.lit("")))))).alias("x")).select("candidate", "site", "x.*")
+    held = asked.select("site", "t").distinct().join(pages.select("site", F.lower("text").alias("body")), "site").groupBy("site", "t").agg(F.bool_or(F.contains("body", F.col("t"))).alias("v"))
+    share = lambda c: F.avg(F.when(F.col("c") == c, F.col("v").cast("double")))
+    covered = asked.join(held, ["site", "t"]).groupBy("candidate").agg((share("n") >= 0.6).alias("said_name"), (share("a") >= 0.5).alias("said_address"))
+    numbers = pages.select("site", F.explode(phones.extract(F.col("text"))).alias("stated")).distinct()
+    called = own.where("phone is not null").select("candidate", "site", "phone").join(numbers, "site").groupBy("candidate").agg(F.bool_or(phones.overlap(F.col("phone"), F.col("stated"))).alias("said_phone"))
+    return covered.join(called, "candidate", "full_outer")
+
+
+def penalties(found: DataFrame, pages: DataFrame) -> DataFrame:
+    """``(candidate, penalty)`` by the worst conflict of candidates over their phones, hosts, and the e-mails and profiles ``(site, emails, profiles)`` of their own sites."""
+    none = F.array().cast("array<string>")
+    own = ~urls.third_party(F.col("site"), matching.SHARED_HOSTS)
+    rows = found.join(pages, "site", "left").select(
+        F.xxhash64("candidate").alias("listing_index"), "name", F.when(F.col("phone").isNotNull(), F.array("phone")).otherwise(none).alias("phones"), none.alias("mobiles"), F.when(own, F.col("emails")).alias("emails"), F.array_compact(F.array("website")).alias("websites"),
+        F.struct(*(F.lit(None).cast("string").alias(c) for c in ("facebook", "tiktok", "instagram")), F.when(own & (F.size("profiles") > 0), F.map_from_arrays("profiles", "profiles")).alias("other")).alias("social_links"), F.col("lat").alias("latitude"), F.col("lng").alias("longitude"),
+    )
+    worst = graph.conflict_kinds(rows).groupBy("listing_index").agg(F.min(scoring.conflict_penalty(F.col("type"))).alias("penalty"))
+    return found.select("candidate", F.xxhash64("candidate").alias("listing_index")).join(worst, "listing_index").select("candidate", "penalty")
+
+
 def listings(found: DataFrame, documents: DataFrame) -> DataFrame:
-    """Candidates with the evidence of their site's pages, contacts by kind, verification and confidence."""
+    """Candidates with the evidence of their site's pages, contacts by kind, verification and confidence.
+
+    E-mail and profile are signs if the site states any. Documents without texts say nothing.
+    """
     site = urls.domain_or_host(F.col("website"))
-    pages = documents.where("site is not null").groupBy("site").agg(F.count("*").alias("pages"), F.max(F.when(urls.page_role(F.col("url")) == "contact", 1).otherwise(0)).alias("has_contact_page"))
+    said = F.coalesce("text", F.lit("")) if "text" in documents.columns else F.lit("")
+    texts = documents.where("site is not null").select("site", "url", said.alias("text"))
+    links = F.filter(F.transform(F.regexp_extract_all("text", F.lit(r"https?://[^\s)\]<>\"']+"), 0), social.canonical_social), lambda u: u != "")
+    pages = texts.groupBy("site").agg(F.count("*").alias("pages"), F.max(F.when(urls.page_role(F.col("url")) == "contact", 1).otherwise(0)).alias("has_contact_page"), F.array_distinct(F.flatten(F.collect_set(contacts.emails(F.col("text"))))).alias("emails"), F.array_distinct(F.flatten(F.collect_set(links))).alias("profiles"))
+    pages = stage(pages, "pages")
+    found = stage(found.withColumn("site", site), "candidates")
     phone = phones.classify(F.col("phone"))
-    rows = found.withColumn("site", site).join(pages, "site", "left").withColumn("p", phone).withColumn("relation", gates.relationship(F.col("site"), F.coalesce("website", F.lit("")), F.col("name"), F.lit(None).cast("string")))
+    rows = found.join(pages, "site", "left").join(site_signs(found, texts.select("site", "text")), "candidate", "left").join(penalties(found, pages.select("site", "emails", "profiles")), "candidate", "left").withColumn("p", phone).withColumn("relation", gates.relationship(F.col("site"), F.coalesce("website", F.lit("")), F.col("name"), F.lit(None).cast("string")))
     has_pages, mapped = F.coalesce("pages", F.lit(0)) > 0, F.col("origin") == "maps"
-    signs = {"gate": gates.official(F.col("website"), F.col("site"), F.col("name")), "domain": has_pages, "name": F.col("relation") == "first_party", "phone": F.lit(False), "address": F.lit(False), "email": F.lit(False), "social": F.lit(False)}
+    signs = {"gate": gates.official(F.col("website"), F.col("site"), F.col("name")), "domain": has_pages, "name": F.col("said_name"), "phone": F.col("said_phone"), "address": F.col("said_address"), "email": F.size("emails") > 0, "social": F.size("profiles") > 0}
     v = scoring.verification(signs, has_pages)
     maps = scoring.maps_confidence(mapped, F.col("rating_count"), mapped, F.col("lat").isNotNull() & F.col("lng").isNotNull(), F.coalesce("address", F.lit("")) != "")
     web = scoring.website_confidence(v["confidence"], F.col("relation"))
     valid = F.col("p.type") != "invalid"
-    contact = scoring.contact_confidence(mapped & valid & ~has_pages, F.lit(False), F.coalesce("address", F.lit("")) != "", F.when(valid, 1).otherwise(0))
+    contact = scoring.contact_confidence(mapped & valid & (~has_pages | F.coalesce("said_phone", F.lit(False))), F.size("emails") > 0, F.coalesce("address", F.lit("")) != "", F.when(valid, 1).otherwise(0))
     return rows.select(
         "candidate", "origin", "run_id", "name", "address", "website", "geo", "relation", F.when(F.col("p.type") == "mobile", F.col("p.digits")).alias("mobile"), F.when(F.col("p.type").isin("landline", "international"), F.col("p.digits")).alias("phone"),
-        v["status"].alias("verification"), scoring.overall_confidence(maps, web, contact, F.lit(1.0), mapped & ~has_pages).alias("confidence"), gates.lifecycle(F.col("relation"), has_pages).alias("lifecycle"),
+        v["status"].alias("verification"), scoring.overall_confidence(maps, web, contact, F.coalesce("penalty", F.lit(1.0)), mapped & ~has_pages).alias("confidence"), gates.lifecycle(F.col("relation"), has_pages).alias("lifecycle"),
     )
 
 

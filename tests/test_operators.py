@@ -229,6 +229,19 @@ def test_pipeline_accounts_for_every_candidate(spark):
     assert report.candidates == 6 and report.finalized == 2 and report.over_target == 0
 
 
+def test_pipeline_reads_pages_and_conflicts(spark):
+    from milap.plans import pipeline
+
+    cols = "candidate string, origin string, run_id string, name string, address string, phone string, website string, category string, lat double, lng double, rating_count double, geo string"
+    one = lambda c, name, phone, site: (c, "maps", "r", name, "5 Hill Road", phone, site, None, None, None, 0.0, "inside")
+    found = spark.createDataFrame([one("a", "Om Samaj Dental", "01-4311600", "https://omsamaj.example"), one("b", "Lone Peak", "01-4311700", "https://lonepeak.example"), one("c", "Twin One", "01-4311800", None), one("d", "Other Two", "01-4311800", None)], cols)
+    docs = spark.createDataFrame([("omsamaj.example", "u1", "Om Samaj Dental, 5 Hill Road. Call 01-4311600, info@omsamaj.example"), ("lonepeak.example", "u2", "nothing here")], "site string, url string, text string")
+    got = {r.candidate: (r.verification, r.confidence) for r in pipeline.listings(found, docs).collect()}
+    assert got["a"][0] == "verified" and got["b"][0] == "weak" and got["a"][1] > got["b"][1]
+    alone = {r.candidate: r.confidence for r in pipeline.listings(found.where("candidate = 'c'"), docs).collect()}
+    assert got["c"][1] < alone["c"]
+
+
 def test_backfill_geocode_status_reason(spark, tmp_path):
     rows = spark.createDataFrame([("a", None), ("b", "1"), (None, "")], "k string, phone string")
     known = spark.createDataFrame([("a", "9"), ("a", "8"), ("b", "7"), (None, "6")], "k string, phone string")

@@ -66,7 +66,7 @@ def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """For each canonical key, the phone, e-mail, website and Facebook page in use."""
-    return survivor.survivors(table(spark, sf_dir, "listings"), table(spark, sf_dir, "source_trust"))
+    return survivor.survivors(table(spark, sf_dir, "listings"), table(spark, sf_dir, "source_trust")).drop("heaviest")
 
 
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -79,43 +79,49 @@ def _add(profile: list[dict], other: list[dict], weight: float, held: float) ->
     return out
 
 
-def _aligned(values: list[tuple[str, float]]) -> list[dict]:
+def _add_value(profile: list[dict], value: str, weight: float, held: float) -> list[dict]:
+    """``_add`` of a single value, whose columns hold one token each."""
+    n, m = len(profile), len(value)
+    rows = [[0.0] * (m + 1)]
+    for column in reversed(profile):
+        below, row, right = rows[-1], [0.0] * (m + 1), 0.0
+        for j in range(m - 1, -1, -1):
+            w = column.get(value[j], 0.0)
+            right = max(below[j], right, below[j + 1] + (w if w < weight else weight))
+            row[j] = right
+        rows.append(row)
+    out, i, j = [], 0, 0
+    while i < n or j < m:
+        row = rows[n - i]
+        if i < n and j < m and row[j] == rows[n - i - 1][j + 1] + min(profile[i].get(value[j], 0.0), weight):
+            merged = dict(profile[i])
+            merged[value[j]] = merged.get(value[j], 0.0) + weight
+            i, j = i + 1, j + 1
+        elif i < n and (j == m or row[j] == rows[n - i - 1][j]):
+            merged = dict(profile[i])
+            merged[""] = merged.get("", 0.0) + weight
+            i += 1
+        else:
+            merged = {value[j]: weight, "": held}
+            j += 1
+        out.append(merged)
+    return out
+
+
+def profile_of(values: list[tuple[str, float]]) -> list[dict]:
     """Profile of values with weights, aligned one after the other, heaviest first, ties by value; these may be a part of a group."""
     profile, held = [], 0.0
     for v, w in sorted(values, key=lambda x: (-x[1], x[0])):
-        profile = _add(profile, [{t: w} for t in v], w, held) if held else [{t: w} for t in v]
+        profile = _add_value(profile, v, w, held) if held else [{t: w} for t in v]
         held += w
     return profile
 
 
-def profile_of(values: list[tuple[str, float]]) -> list[dict]:
-    """Profile of a whole group's values with weights.
-
-    If one value outweighs all the others together, it wins every column however they are aligned, and is the profile by itself. That holds for no part of a group.
-    """
-    total, top = sum(w for _, w in values), max(values, key=lambda x: x[1], default=("", 0.0))
-    if top[1] > total - top[1]:
-        return [{t: total} for t in top[0]]
-    return _aligned(values)
-
-
 def consensus(profile: list[dict]) -> str:
     """Winning token of each column; ties go to the smaller token, gaps last."""
     return "".join(min(c.items(), key=lambda x: (-x[1], x[0] == "", x[0]))[0] for c in profile)
 
 
-def distance(a: str, b: str) -> int:
-    """Edit distance."""
-    if a == b:
-        return 0
-    row = list(range(len(b) + 1))
-    for i, x in enumerate(a, 1):
-        last, row[0] = row[0], i
-        for j, y in enumerate(b, 1):
-            last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (x != y))
-    return row[-1]
-
-
 # ---- groups ----------------------------------------------------------------------------------------------------------------
 
 
@@ -139,7 +145,7 @@ def _groups(batches: Iterator[pa.RecordBatch], n_keys: int) -> Iterator[tuple[tu
 def _partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     out = []
     for (g, _), rows in _groups(batches, 2):
-        out.append((g, json.dumps(_aligned(rows)), sum(w for _, w in rows)))
+        out.append((g, json.dumps(profile_of(rows)), sum(w for _, w in rows)))
     if out:
         yield pa.RecordBatch.from_arrays([pa.array(x) for x in zip(*out, strict=True)], ["g", "profile", "weight"])
 
@@ -157,34 +163,26 @@ def _merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(x) for x in zip(*out, strict=True)], ["g", "said"])
 
 
-def _far(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
-        v, said = b.column("value").to_pylist(), b.column("said").to_pylist()
-        yield pa.RecordBatch.from_arrays([b.column("g"), b.column("value"), b.column("weight"), pa.array([distance(x, y) for x, y in zip(v, said, strict=True)], pa.int32())], ["g", "value", "weight", "far"])
-
-
 def closest_to_consensus(values: DataFrame, part: int = 500) -> DataFrame:
-    """``(g, value)``: of each group ``g`` the existing value closest to the consensus of its ``(g, value, weight)`` rows.
+    """``(g, value, heaviest)``: of each group ``g`` the existing value closest to the consensus of its ``(g, value, weight)`` rows.
 
-    Values of a group are distinct and weights positive. Ties go to the heavier, then the smaller value. A group of more than ``part``
-    values is aligned in parts, whose profiles are then merged.
+    Values of a group are distinct and weights positive. All values of a group are aligned and vote; ties go to the heavier, then the smaller value. ``heaviest`` says whether the heaviest value
+    was kept. A group of more than ``part`` values is aligned in parts, whose profiles are then merged.
     """
-    size = values.groupBy("g").agg(F.count("*").alias("size"), F.max_by("value", F.struct("weight", "value")).alias("top"), F.max("weight").alias("most"), F.sum("weight").alias("total"))
-    # a value that outweighs the rest is the consensus; that holds for nearly all groups, and for those of one value
-    plain = size.where("size = 1 or most > total - most").select("g", F.col("top").alias("value"))
-    rest = size.where("not (size = 1 or most > total - most)").select("g", "size")
-    hard = stage(values.join(rest, "g").select("g", "value", "weight", F.pmod(F.xxhash64("value"), F.ceil(F.col("size") / part).cast("int")).cast("int").alias("p")), "hard")
+    size = values.groupBy("g").agg(F.count("*").alias("size"), F.max_by("value", F.struct("weight", "value")).alias("top"))
+    plain = size.where("size = 1").select("g", F.col("top").alias("value"), F.lit(True).alias("heaviest"))
+    hard = stage(values.join(size.where("size > 1"), "g").select("g", "value", "weight", "top", F.pmod(F.xxhash64("value"), F.ceil(F.col("size") / part).cast("int")).cast("int").alias("p")), "hard")
     partial = hard.repartition("g", "p").sortWithinPartitions("g", "p", "value").select("g", "p", "value", "weight").mapInArrow(_partial, "g string, profile string, weight double")
     said = partial.repartition("g").sortWithinPartitions("g").mapInArrow(_merged, "g string, said string")
-    scored = hard.join(said, "g").select("g", "value", "weight", "said").mapInArrow(_far, "g string, value string, weight double, far int")
-    return plain.unionByName(scored.groupBy("g").agg(F.min(F.struct("far", (-F.col("weight")).alias("w"), "value")).alias("b")).select("g", "b.value"))
+    near = hard.join(said, "g").groupBy("g").agg(F.min(F.struct(F.levenshtein("value", "said").alias("far"), (-F.col("weight")).alias("w"), "value")).alias("b"), F.first("top").alias("top"))
+    return plain.unionByName(near.select("g", "b.value", (F.col("b.value") == F.col("top")).alias("heaviest")))
 
 
-def survivors(listings: DataFrame, trust: DataFrame, *, trusted_from: int = 2, trusted_days: float = 7.0, other_days: float = 120.0, tier: float = 1000.0, shared_by: int = 20, late_days: int = 120) -> DataFrame:
-    """``(canonical_key, field_name, kept_value)`` for keys of two or more rows and each field with a usable value.
+def survivors(listings: DataFrame, trust: DataFrame, *, trusted_from: int = 2, trusted_days: float = 30.0, other_days: float = 120.0, tier: float = 5.0, own_share: float = 0.1, late_days: int = 120) -> DataFrame:
+    """``(canonical_key, field_name, kept_value, heaviest)`` for keys of two or more rows and each field with a usable value; ``heaviest``: the value with most weight was kept.
 
-    A row's time is ``extracted_at`` if that lies at most ``late_days`` before ``ingested_at`` and not after it, else ``ingested_at``. Values that more than ``shared_by`` keys use are
-    directories or stopgaps and unusable. What only untrusted sources say is not kept if a trusted one says it of another key and the group has other values.
+    A row's time is ``extracted_at`` if that lies at most ``late_days`` before ``ingested_at`` and not after it, else ``ingested_at``. Values of which no key
+    makes the share ``own_share`` of the statements belong to directories or are stopgaps, and unusable. What only untrusted sources say is not kept if a trusted one says it of another key and the group has other values.
     Sources without trust count as 0; null keys form no group; null, empty and malformed values are unusable; repeated rows change nothing among trusted statements.
     """
     days = lambda c: F.unix_timestamp(F.col(c).cast("timestamp")) / 86400.0
@@ -200,13 +198,13 @@ def survivors(listings: DataFrame, trust: DataFrame, *, trusted_from: int = 2, t
     ).select("canonical_key", "t", "trust", "x.*").where("value is not null")
     good = F.col("trust") >= trusted_from
     known = stage(
-        stated.groupBy("canonical_key", "field_name", "value").agg(F.max(F.when(good, F.col("t"))).alias("last"), F.max(F.when(good, F.col("trust"))).alias("top"), F.sum(F.when(~good, F.exp(F.col("t") / other_days))).alias("others"), F.max("t").alias("seen")),
+        stated.groupBy("canonical_key", "field_name", "value").agg(F.max(F.when(good, F.col("t"))).alias("last"), F.max(F.when(good, F.col("trust"))).alias("top"), F.sum(F.when(~good, F.exp(F.col("t") / other_days))).alias("others"), F.max("t").alias("seen"), F.count("*").alias("n")),
         "stated",
     )
     # whose is a value: keys that use it, and those of which a trusted source says so
-    use = known.groupBy("field_name", "value").agg(F.count("*").alias("keys"), F.min(F.when(F.col("last").isNotNull(), F.col("canonical_key"))).alias("o1"), F.max(F.when(F.col("last").isNotNull(), F.col("canonical_key"))).alias("o2"))
+    use = known.groupBy("field_name", "value").agg(F.count("*").alias("keys"), (F.max("n") / F.sum("n")).alias("share"), F.min(F.when(F.col("last").isNotNull(), F.col("canonical_key"))).alias("o1"), F.max(F.when(F.col("last").isNotNull(), F.col("canonical_key"))).alias("o2"))
     shared = use.where("keys > 1")
-    mine = known.join(shared, ["field_name", "value"], "left").where(f"keys is null or keys <= {shared_by}")
+    mine = known.join(shared, ["field_name", "value"], "left").where(f"keys is null or share >= {own_share}")
     mine = mine.withColumn("foreign", F.col("last").isNull() & F.coalesce((F.col("o1") != F.col("canonical_key")) | (F.col("o2") != F.col("canonical_key")), F.lit(False)))
     two = listings.where("canonical_key is not null").groupBy("canonical_key").count().where("count > 1").select("canonical_key")
     mine = mine.join(two, "canonical_key", "left_semi")
@@ -221,4 +219,4 @@ def survivors(listings: DataFrame, trust: DataFrame, *, trusted_from: int = 2, t
         ).alias("weight"),
     )
     kept = closest_to_consensus(stage(weighed, "weighed"))
-    return kept.select(F.split("g", "\x1f")[1].alias("canonical_key"), F.split("g", "\x1f")[0].alias("field_name"), F.col("value").alias("kept_value"))
+    return kept.select(F.split("g", "\x1f")[1].alias("canonical_key"), F.split("g", "\x1f")[0].alias("field_name"), F.col("value").alias("kept_value"), "heaviest")

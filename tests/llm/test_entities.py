@@ -44,6 +44,15 @@ def test_parse_address():
     assert [parse_address(x)[:2] for x in ("", None, "N/A", "Miyel, Nepal")] == [("", "")] * 4
 
 
+def distance(a, b):
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        last, row[0] = row[0], i
+        for j, y in enumerate(b, 1):
+            last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (x != y))
+    return row[-1]
+
+
 LISTING = "listing_index long, canonical_key string, name string, phones array<string>, mobiles array<string>, websites array<string>"
 EVIDENCE = "evidence_id long, name string, phone string, domain string, listing_index string"
 
@@ -81,7 +90,7 @@ def test_near_words_against_brute_force(spark):
     made = lambda n: sorted({"".join(rng.choice("ab") for _ in range(rng.randint(3, 9))) for _ in range(n)})
     w, y = made(60), made(60)
     got = {tuple(r) for r in names._near_words(spark.createDataFrame([(x,) for x in w], "w string"), spark.createDataFrame([(x,) for x in y], "y string")).collect()}
-    assert got == {(a, b) for a in w for b in y if survivor.distance(a, b) <= (2 if len(b) >= 6 else 1)}
+    assert got == {(a, b) for a in w for b in y if distance(a, b) <= (2 if len(b) >= 6 else 1)}
 
 
 def test_same_building(spark):
@@ -133,7 +142,32 @@ def test_usable_values(spark):
 
 def test_consensus_by_alignment():
     assert survivor.consensus(survivor.profile_of([("ram.example", 1.0), ("ramm.example", 0.9), ("ram.exampel", 0.9)])) == "ram.example"
-    assert survivor.profile_of([]) == [] and survivor.consensus([]) == "" and survivor.distance("kitten", "sitting") == 3
+    assert survivor.profile_of([]) == [] and survivor.consensus([]) == ""
+
+
+def test_the_consensus_can_outvote_the_heaviest_value(spark):
+    rows = [("g", "ram-shop.exampel", 3.0), ("g", "ram-shop.example", 2.0), ("g", "ramshop.example", 2.0), ("g", "ram-shopp.example", 2.0)]
+    got = survivor.closest_to_consensus(spark.createDataFrame(rows, "g string, value string, weight double")).first()
+    assert (got.value, got.heaviest) == ("ram-shop.example", False)
+
+
+def test_a_directorys_host_is_no_ones(spark):
+    ts = __import__("datetime").datetime(2025, 1, 1)
+    cols = "canonical_key string, source string, phones array<string>, emails array<string>, websites array<string>, social_links struct<facebook:string>, extracted_at timestamp_ntz, ingested_at timestamp_ntz"
+    rows = [(f"k{i}", "maps", [], [], ["http://dir.example/x"], (None,), ts, ts) for i in range(30) for _ in range(2)] + [("k0", "maps", [], [], ["http://own.example"], (None,), ts, ts), ("k1", "maps", [], [], ["http://own.example"], (None,), ts, ts)]
+    got = survivor.survivors(spark.createDataFrame(rows, cols), spark.createDataFrame([("maps", 3)], "source string, trust int"))
+    assert {tuple(r)[:3] for r in got.collect()} == {("k0", "websites", "own.example"), ("k1", "websites", "own.example")}
+
+
+def test_a_value_added_is_a_profile_merged():
+    rng = random.Random(9)
+    for _ in range(200):
+        values = [("".join(rng.choice("abc") for _ in range(rng.randint(0, 6))), float(rng.randint(1, 9))) for _ in range(rng.randint(1, 4))]
+        profile, held = [], 0.0
+        for v, w in sorted(values, key=lambda x: (-x[1], x[0])):
+            profile = survivor._add(profile, [{t: w} for t in v], w, held) if held else [{t: w} for t in v]
+            held += w
+        assert survivor.profile_of(values) == profile
 
 
 def test_closest_to_consensus_in_parts(spark):
@@ -143,8 +177,8 @@ def test_closest_to_consensus_in_parts(spark):
     rows = [(g, v, float(sum(w for _, x, w in rows if x == v))) for g, v in {(g, v) for g, v, _ in rows}] + [("h", "one", 1.0), ("t", "b", 1.0), ("t", "a", 1.0)]
     df = spark.createDataFrame(rows, "g string, value string, weight double")
     for part in (500, 7):
-        got = dict(map(tuple, survivor.closest_to_consensus(df, part=part).collect()))
-        assert got["h"] == "one" and got["t"] in "ab" and survivor.distance(got["g"], base) <= 1
+        got = {r.g: r.value for r in survivor.closest_to_consensus(df, part=part).collect()}
+        assert got["h"] == "one" and got["t"] in "ab" and distance(got["g"], base) <= 1
 
 
 def test_parts_keep_the_votes_of_all_values():
@@ -165,5 +199,5 @@ def test_survivors(spark):
         row("b", "maps", ["061-333333"], ts(2035, 1, 1), ts(2025, 1, 1)), row("b", "maps", ["061-444444"], ts(2025, 2, 1)), row("c", "maps", ["061-555555"], ts(2025, 1, 1)), row(None, "maps", ["061-555555"], ts(2025, 1, 1)), row("d", None, None, None, ts(2025, 1, 1)), row("d", "x", ["n/a", None], None, ts(2025, 1, 1)),
     ], cols)
     trust = spark.createDataFrame([("maps", 3), ("directory", 1)], "source string, trust int")
-    assert {tuple(r) for r in survivor.survivors(df, trust).collect()} == {("a", "phones", "61222222"), ("b", "phones", "61444444")}
+    assert {tuple(r)[:3] for r in survivor.survivors(df, trust).collect()} == {("a", "phones", "61222222"), ("b", "phones", "61444444")}
     assert survivor.survivors(df.limit(0), trust).count() == 0

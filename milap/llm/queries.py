@@ -47,14 +47,15 @@ def _mix_plan(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
 
 
 def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Sources that can't reach their share of a mix."""
-    return _mix_plan(spark, sf_dir)[1].where("capacity < wanted").select("mix_id", "source")
+    """Sources that can't reach their share of a mix: their leaves' budgets are less than was wanted of them."""
+    return mixing.of_sources(_mix_plan(spark, sf_dir)[1]).where("short").select("mix_id", "source")
 
 
 def p8_drawn(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Of each source of each mix: tokens wanted, budgeted and drawn, and the share reached."""
     counted, plan = _mix_plan(spark, sf_dir)
     got = mixing.draw(counted, plan).join(counted.select("doc_id", "n_tokens"), "doc_id").groupBy("mix_id", "source").agg(F.sum(F.col("copies") * F.col("n_tokens")).alias("drawn"), F.max("copies").alias("most_copies"))
+    plan = mixing.of_sources(plan)
     mix_total = got.groupBy("mix_id").agg(F.sum("drawn").alias("mix_drawn"))
     return plan.join(got, ["mix_id", "source"], "left").join(mix_total, "mix_id", "left").select("mix_id", "source", "target_share", "wanted", "budget", F.coalesce("drawn", F.lit(0)).alias("drawn"), F.coalesce("most_copies", F.lit(0)).alias("most_copies"), (F.coalesce("drawn", F.lit(0)) / F.col("mix_drawn")).alias("share_reached"))
 

@@ -56,12 +56,20 @@ def test_leaf_budgets_hand_shortages_to_siblings_first():
     assert np.allclose(r[["a", "b", "c", "d"]], [10, 60, 30, 0])
 
 
+def test_a_source_has_a_leaf_for_each_domain_and_language():
+    targets = pd.DataFrame({"source": ["a", "b", "c"], "target_share": [0.5, 0.3, 0.2], "max_repeats": [1, 9, 9]})
+    supply = pd.DataFrame({"source": ["a", "a", "b", "c"], "domain": ["x", "y", "x", "y"], "language": ["en", "ne", "en", "en"], "tokens": [30, 10, 100, 100]})
+    r = mixing.leaf_budgets(targets, supply, 100.0).set_index(["source", "domain"])
+    # a's 50 are wanted 3 to 1 of its leaves, which hold 30 and 10; the rest of the first goes to b in x, that of the second to c in y
+    assert np.allclose(r.wanted, [37.5, 12.5, 30, 20]) and np.allclose(r.budget, [30, 10, 37.5, 22.5])
+
+
 def test_draw_reaches_budgets(spark):
     rng = random.Random(8)
     docs = [(i, "s" if i % 3 else "t", rng.randint(1, 50)) for i in range(900)] + [(1000, None, 5), (1001, "s", 0)]
-    df = spark.createDataFrame(docs, "doc_id long, source string, n_tokens long")
+    df = spark.createDataFrame(docs, "doc_id long, source string, n_tokens long").withColumn("page_type", F.lit(None).cast("string")).withColumn("lang", F.lit("en"))
     total = {s: sum(n for _, x, n in docs if x == s) for s in "st"}
-    plan = spark.createDataFrame([(1, "s", 0.5 * total["s"], float(total["s"]), 2), (1, "t", 2.5 * total["t"], float(total["t"]), 3), (2, "t", 3.0 * total["t"], float(total["t"]), 3)], "mix_id int, source string, budget double, tokens double, max_repeats int")
+    plan = spark.createDataFrame([(1, "s", 0.5 * total["s"], float(total["s"]), 2), (1, "t", 2.5 * total["t"], float(total["t"]), 3), (2, "t", 3.0 * total["t"], float(total["t"]), 3)], "mix_id int, source string, budget double, tokens double, max_repeats int").withColumn("domain", F.lit("")).withColumn("language", F.lit("en"))
     got = mixing.draw(df, plan).join(df.drop("source"), "doc_id").groupBy("mix_id", "source").agg(F.sum(F.col("copies") * F.col("n_tokens")).alias("n"), F.max("copies").alias("c")).collect()
     by = {(r.mix_id, r.source): (r.n, r.c) for r in got}
     assert 0 <= by[1, "s"][0] - 0.5 * total["s"] < 50 and by[1, "s"][1] == 1
@@ -96,7 +104,7 @@ def test_levels_on_held_out_documents(spark):
 def test_mix_plan_and_empty_tables(spark):
     docs = spark.createDataFrame([(1, "a", 60, "en", "blog"), (2, "b", 40, None, None), (3, None, 999, "en", "x"), (4, "b", 0, "en", None)], "doc_id long, source string, n_tokens long, lang string, page_type string")
     targets = spark.createDataFrame([(1, "a", 0.9, 1), (1, "b", 0.1, 2), (1, "b", 0.05, 1), (2, "zz", 1.0, 5), (None, "a", 1.0, 1), (3, "a", None, None)], "mix_id int, source string, target_share double, max_repeats int")
-    got = {(r.mix_id, r.source): (r.capacity < r.wanted, round(r.budget)) for r in mixing.mix_plan(docs, targets).collect()}
+    got = {(r.mix_id, r.source): (r.short, round(r.budget)) for r in mixing.of_sources(mixing.mix_plan(docs, targets)).collect()}
     assert got == {(1, "a"): (True, 60), (1, "b"): (False, 40), (2, "zz"): (True, 0), (3, "a"): (False, 0)}
     assert mixing.mix_plan(docs, targets.limit(0)).count() == 0
     assert {r.source: r.budget for r in mixing.mix_plan(docs.limit(0), targets).collect()}["zz"] == 0

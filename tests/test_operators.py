@@ -6,7 +6,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from milap.operators import geography, graph, matching, ranking, scoring
+from milap.operators import geography, graph, matching, ranking, scoring, slabs
 from milap.operators.slabs import near_pairs, points_inside
 from milap.sources import cache, store
 
@@ -256,3 +256,34 @@ def test_backfill_geocode_status_reason(spark, tmp_path):
     none = F.array().cast("array<string>")
     said = spark.range(1).select(graph.conflict_reason(F.lit("SHARED_OFFICE"), F.lit("A"), F.lit("B"), none, F.array(F.lit("x@y.z")), none, none, F.lit(0.02)).alias("s")).first().s
     assert said == "A and B share e-mails [x@y.z] and a distance of 20 m: a shared office"
+
+
+def _inside(ring, lat, lng):
+    """Even-odd rule by the crossings west of a point."""
+    n = 0
+    for (a, x), (b, y) in zip(ring, ring[1:] + ring[:1]):
+        if (a <= lat) != (b <= lat):
+            n += x + (y - x) * (lat - a) / (b - a) < lng
+    return n % 2 == 1
+
+
+def test_polygons_over_points_against_brute_force(spark):
+    rng = random.Random(15)
+    rings = [[(27 + rng.random() * 0.6, 85 + rng.random() * 0.6) for _ in range(rng.randint(3, 9))] for _ in range(25)]
+    rings.append([(27.1, 85.1), (27.5, 85.1), (27.5, 85.5), (27.1, 85.5), (27.1, 85.1)])  # closed, and a box
+    pts = [(i, 27 + rng.random() * 0.6, 85 + rng.random() * 0.6) for i in range(400)]
+    struct = lambda r: [{"lat": a, "lng": b} for a, b in r]
+    regions = spark.createDataFrame([(j, 1, struct(r)) for j, r in enumerate(rings)] + [(90, 1, None), (91, 1, []), (92, 1, struct([(27.0, None), (27.5, 85.0), (27.1, 85.4)])), (93, 1, struct([(27.1, 85.0), (27.1, 85.4)]))], "id long, tag long, ring array<struct<lat double, lng double>>")
+    points = spark.createDataFrame([(*p, "x") for p in pts] + [(900, None, 85.1, "x"), (None, 27.2, 85.2, "x")], "id long, lat double, lng double, ring string").withColumn("tag", F.lit(1))
+    want = {(j, i) for j, r in enumerate(rings) for i, a, b in pts if _inside(r, a, b)}
+    for most in (500_000, 40):
+        assert {(r.region, r.point) for r in slabs.polygons_over_points(regions, points, most=most).collect()} == want
+    assert len(want) > 500 and slabs.polygons_over_points(regions.limit(0), points).count() == 0
+
+
+def test_discs_of_very_different_widths(spark):
+    rng = random.Random(16)
+    pts = [(i, 27 + rng.random(), 85 + rng.random()) for i in range(400)]
+    discs = [(j, 27 + rng.random(), 85 + rng.random(), 10 ** rng.uniform(-1, 2)) for j in range(60)]
+    got = points_inside(spark.createDataFrame(pts, "id long, lat double, lng double"), spark.createDataFrame(discs, "rid long, clat double, clng double, rad double"), id_col="id", lat_col="lat", lng_col="lng", region_col="rid", centre_lat="clat", centre_lng="clng", radius_col="rad", slab_deg=0.03)
+    assert sorted(map(tuple, got.collect())) == sorted((i, j) for i, a, b in pts for j, c, d, q in discs if km(a, b, c, d) <= q)

@@ -1,10 +1,10 @@
 """Reading level of documents, by a Rasch-style model of documents and words.
 
-A document has a level and a word a difficulty on one scale. Each occurrence of a word in a document is a contest that the two win
-equally often where they meet; a document's level is where the logistic pull of its words balances, a word's difficulty where the
-pull of the documents that use it does. Words used at all levels tell little, so each word pulls with a discrimination: the inverse of the spread
-of the levels around it. Levels and difficulties are estimated in turn, each a sum over the occurrences by document or by word; documents
-with human labels are held at these. Four cut points between the levels are fitted on the labelled documents at the end.
+A document has a level and a word a difficulty on one scale. Each occurrence of a word in a document is a contest that ends in a draw, so the likelihood of all occurrences is the sum of
+log p + log (1 - p), p being the logistic function of level minus difficulty; it is largest where each document meets its words and each word its documents. Words used at all levels tell little, so a word's
+occurrences count with its discrimination: the inverse of the spread of the labelled levels around it, drawn towards that of all labels where labels are few. Documents with human labels are held at
+these, and the others count for less. The sum is concave in levels and difficulties together, and both are moved in turn by Newton's steps on that one sum until the levels stay. Words of all documents
+take part. Four cut points between the levels are fitted on the labelled documents at the end.
 """
 
 from __future__ import annotations
@@ -52,39 +52,49 @@ def occurrences(docs: DataFrame, doc_col: str = "doc_id", text_col: str = "text"
     return docs.where(F.col(doc_col).isNotNull()).select(F.col(doc_col).cast("long").alias("doc_id"), text_col).mapInArrow(count, "doc_id long, word long, n int, doc_words int")
 
 
-def _logistic(x: Column) -> Column:
-    return 1 / (1 + F.exp(-x))
+def _pull(at: Column, b: Column, weight: Column, steep: float) -> tuple[Column, Column]:
+    """Gradient and curvature of an occurrence's term of the likelihood in the level ``at``; in the difficulty the gradient is the opposite."""
+    p = 1 / (1 + F.exp(-steep * (at - b)))
+    return weight * steep * (1 - 2 * p), weight * 2 * steep * steep * p * (1 - p)
 
 
-def fit_levels(occ: DataFrame, labels: DataFrame, *, rounds: int = 3, steep: float = 2.0, min_docs: int = 5, ridge: float = 0.5) -> tuple[DataFrame, DataFrame]:
-    """``(levels, words)``: ``(doc_id, theta, doc_words, known)`` of every document with a known word, and ``(word, b, a)``.
+def with_words(occ: DataFrame, words: DataFrame, docs: int, share: float = 0.001) -> DataFrame:
+    """Occurrences with their word's columns. Words of more than ``share`` of all documents, of which there are at most a document's mean number of different words divided by ``share``, are broadcast, so no task holds all occurrences of a frequent word."""
+    hot = F.col("docs") > max(1000.0, share * docs)
+    frequent = F.broadcast(words.where(hot).drop("docs"))
+    return occ.join(frequent, "word").unionByName(occ.join(frequent.select("word"), "word", "left_anti").join(words.where(~hot).drop("docs"), "word"))
 
-    ``labels`` is ``(doc_id, label)``, one row for each labelled document. ``known`` counts the document's words that also occur in at least ``min_docs``
-    labelled documents: these are words of the labelled language. ``steep`` is the slope of the logistic pull of a document's words.
+
+def fit_levels(occ: DataFrame, labels: DataFrame, *, steep: float = 2.0, unlabelled: float = 0.1, prior: float = 4.0, min_docs: int = 5, ridge: float = 0.5, close: float = 0.01, max_rounds: int = 40) -> tuple[DataFrame, DataFrame]:
+    """``(levels, words)``: ``(doc_id, theta, doc_words, known)`` of every document with words, and ``(word, b, a, docs, taught)``.
+
+    ``labels`` is ``(doc_id, label)``, one row for each labelled document. ``known`` counts the document's occurrences of words that also occur in at least ``min_docs``
+    labelled documents: these are words of the labelled language. ``steep`` is the slope of the logistic function, ``unlabelled`` the weight of a document without label, ``prior`` the number of labels that a word's spread is
+    drawn to that of all labels with, and ``ridge`` a word's pull to where it started. Ends when levels change by less than ``close`` on average; ``RuntimeError`` if ``max_rounds`` don't suffice.
     """
-    # words of the labelled documents are the vocabulary; difficulty starts as the mean label of the documents that use it
-    with_label = occ.join(labels, "doc_id")
-    spread = lambda x: F.greatest(F.var_pop(x), F.lit(0.02))
-    words = stage(with_label.groupBy("word").agg(F.count("*").alias("docs"), F.avg("label").alias("b"), (1 / spread("label")).alias("a")).where(F.col("docs") >= min_docs).select("word", "b", "a"), "words")
-    occ = stage(occ.join(words.select("word"), "word").select("doc_id", "word", "n", "doc_words"), "occurrences")
-    theta = None
-    for k in range(rounds):
-        here = occ.join(words, "word")
-        pull = F.col("n") * F.col("a")
-        if theta is None:
-            new = here.groupBy("doc_id").agg((F.sum(pull * F.col("b")) / F.sum(pull)).alias("theta"), F.max("doc_words").alias("doc_words"), F.sum("n").alias("known"))
-        else:
-            p = _logistic(steep * (F.col("b") - F.col("theta")))
-            step = F.sum(pull * (p - 0.5)) / (F.sum(pull * steep * p * (1 - p)) + 1e-9)
-            new = here.join(theta.select("doc_id", "theta"), "doc_id").groupBy("doc_id").agg((F.first("theta") + F.greatest(F.lit(-0.7), F.least(F.lit(0.7), step))).alias("theta"), F.max("doc_words").alias("doc_words"), F.sum("n").alias("known"))
-        theta = stage(new, "theta")
-        if k == rounds - 1:
-            break
-        held = theta.select("doc_id", "theta").join(labels, "doc_id", "left").select("doc_id", F.coalesce(F.col("label"), F.col("theta")).alias("at"))
-        q = _logistic(F.col("at") - F.col("b"))
-        grip = F.sum(F.col("n") * (q - 0.5)) / (F.sum(F.col("n") * q * (1 - q)) + ridge)
-        words = stage(occ.join(held, "doc_id").join(words, "word").groupBy("word").agg((F.first("b") + grip).alias("b"), (1 / spread("at")).alias("a")), "words")
-    return theta, words
+    all_of = labels.agg(F.var_pop("label").alias("v"), F.avg("label").alias("m")).first()
+    spread, mean = max(float(all_of["v"] or 0.0), 0.02), float(all_of["m"] or 0.0)
+    # a word starts at the mean label of the documents that use it; one without labels waits for the first levels
+    said = occ.join(labels, "doc_id", "left").groupBy("word").agg(F.count("*").alias("docs"), F.count("label").alias("taught"), F.avg("label").alias("b0"), F.coalesce(F.var_pop("label"), F.lit(0.0)).alias("v"))
+    words = stage(said.select("word", "docs", "taught", F.coalesce("b0", F.lit(mean)).alias("b"), (1 / F.greatest(F.lit(0.02), (F.col("taught") * F.col("v") + prior * spread) / (F.col("taught") + prior))).alias("a")), "words")
+    docs = occ.select("doc_id").distinct().count()
+    start = with_words(occ, words.select("word", "b", "a", "taught", "docs"), docs).groupBy("doc_id").agg(F.sum(F.when(F.col("taught") > 0, F.col("n") * F.col("a") * F.col("b"))).alias("s"), F.sum(F.when(F.col("taught") > 0, F.col("n") * F.col("a"))).alias("w"), F.max("doc_words").alias("doc_words"), F.sum(F.when(F.col("taught") >= min_docs, F.col("n")).otherwise(0)).alias("known"))
+    theta = stage(start.join(labels, "doc_id", "left").select("doc_id", "label", "doc_words", "known", F.coalesce(F.col("s") / F.col("w"), F.lit(mean)).alias("theta")), "theta")
+    for _ in range(max_rounds):
+        # difficulties, labelled documents held at their labels
+        held = theta.select("doc_id", F.coalesce("label", "theta").alias("at"), F.when(F.col("label").isNull(), unlabelled).otherwise(1.0).alias("share"))
+        g, c = _pull(F.col("at"), F.col("b"), F.col("n") * F.col("share"), steep)
+        move = with_words(occ.select("doc_id", "word", "n"), words.select("word", "b", "docs"), docs).join(held, "doc_id").groupBy("word").agg((-F.sum(g)).alias("g"), F.sum(c).alias("c"))
+        words = stage(words.join(move, "word").select("word", "docs", "taught", (F.col("b") + F.greatest(F.lit(-0.7), F.least(F.lit(0.7), F.col("g") / (F.col("c") + ridge)))).alias("b"), "a"), "words")
+        # levels; a labelled document's is found like the others', but not used for the words
+        here = with_words(occ.select("doc_id", "word", "n"), words.select("word", "b", "a", "docs"), docs).join(theta.select("doc_id", "theta"), "doc_id")
+        g, c = _pull(F.col("theta"), F.col("b"), F.col("n") * F.col("a"), steep)
+        step = here.groupBy("doc_id").agg(F.greatest(F.lit(-0.7), F.least(F.lit(0.7), F.sum(g) / (F.sum(c) + 1e-9))).alias("step"))
+        moved = stage(theta.join(step, "doc_id").select("doc_id", "label", "doc_words", "known", (F.col("theta") + F.col("step")).alias("theta"), "step"), "theta")
+        theta = moved.drop("step")
+        if (moved.agg(F.avg(F.abs("step")).alias("d")).first()["d"] or 0.0) < close:
+            return theta.drop("label"), words
+    raise RuntimeError(f"levels are not stable after {max_rounds} rounds")
 
 
 def cut_points(theta: np.ndarray, label: np.ndarray, levels: int = 5) -> np.ndarray:
@@ -110,6 +120,8 @@ def reading_levels(docs: DataFrame, labels: DataFrame, *, doc_col: str = "doc_id
     """
     rated = stage(labels.where(F.col(label_col).isNotNull() & F.col(label_doc).isNotNull()).groupBy(F.col(label_doc).cast("long").alias("doc_id")).agg(F.avg(label_col).alias("label")), "rated")
     occ = stage(occurrences(docs, doc_col, text_col), "occurrences")
+    if not rated.limit(1).count():
+        return occ.select("doc_id", F.lit(None).cast("int").alias("level"), F.lit(None).cast("double").alias("theta")).limit(0)
     theta, _ = fit_levels(occ, rated)
     prose = theta.where((F.col("known") >= min_known) & (F.col("known") >= min_share * F.col("doc_words")))
     fit = prose.join(rated, "doc_id").orderBy(F.xxhash64("doc_id")).limit(sample).select("theta", "label").toPandas()

@@ -62,3 +62,6 @@ def release(*staged: DataFrame) -> None:
         if path:
             at = df.sparkSession._jvm.org.apache.hadoop.fs.Path(path)
             at.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(at, True)
+    if staged:
+        # shuffle files go when the driver collects the plans that made them
+        staged[0].sparkSession._jvm.System.gc()

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import re
-from functools import lru_cache
 
 from milap.llm.forms import plain_text, sound
 
@@ -33,11 +32,6 @@ _LAND = re.compile(r"\b(?:" + "|".join(sorted(COUNTRY)) + r")\b\.?")
 _SEP = re.compile(r"[\n;|·]+| - ")
 
 
-@lru_cache(maxsize=100_000)
-def _said(word: str) -> str:
-    return sound(word)
-
-
 def parse_address(text: str | None) -> tuple[str, str, str, str, list[str]]:
     """``(street, number, ward, postcode, places)`` of an address, '' where not stated; words by sound.
 
@@ -89,5 +83,5 @@ def parse_address(text: str | None) -> tuple[str, str, str, str, list[str]]:
             number = m[1]
         elif not ward and m[1].isdigit():
             ward = m[1]
-    places = [_said(w) for w in _WORD.findall(t) if w not in COUNTRY and w not in TOWN and w not in FILLER and not _TYPE.match(w)]
-    return _said(street) if street not in FILLER else "", number.lstrip("0"), ward.lstrip("0"), post[0] if post else "", places
+    places = [sound(w) for w in _WORD.findall(t) if w not in COUNTRY and w not in TOWN and w not in FILLER and not _TYPE.match(w)]
+    return sound(street) if street not in FILLER else "", number.lstrip("0"), ward.lstrip("0"), post[0] if post else "", places

@@ -5,6 +5,7 @@ from __future__ import annotations
 import html
 import re
 import unicodedata
+from functools import lru_cache
 
 #: Words that state a trade, by trade; first those that decide, then those that only hint (fixed values).
 TRADES = {
@@ -40,10 +41,13 @@ _TOKEN = re.compile(r"[a-z0-9]+")
 #: Spellings of one sound, replaced in this order (fixed values).
 SOUNDS = (("x", "ksh"), ("f", "ph"), ("chh", "ch"), ("w", "v"), ("bh", "b"), ("v", "b"), ("z", "j"), ("ee", "i"), ("oo", "u"), ("sh", "s"))
 _TWICE = re.compile(r"(.)\1+")
+_DOUBLED = re.compile(r"([bcdfghjklmnpqrstvwxyz])\1+")
 
 
+@lru_cache(maxsize=200_000)
 def sound(word: str) -> str:
     """One spelling for the spellings of a word: long vowels short, doubled letters single, look-alike consonants one."""
+    word = _DOUBLED.sub(r"\1", word)
     for a, b in SOUNDS:
         word = word.replace(a, b)
     return _TWICE.sub(r"\1", word)

@@ -1,12 +1,12 @@
 """Variant spellings of names, by merge-and-rematch.
 
-Records of one listing key are one profile from the start; a profile holds all its spellings, initials and contacts. Names that state both brand words
-and a trade (full forms) join the profile of the same form. Then what is left is blocked against the profiles by everything a spelling can turn into:
-one letter dropped from a brand word (which finds any single typo and swap), an initial, brand words run together, no trade. A name joins a profile if
-it is the only one at the best kind of key. Each merge adds its spellings to the profile, and what is still left is matched again with the new spellings
-only, until nothing more merges. Names that several profiles fit are decided by a shared phone or host, if a brand word agrees.
+Records of one listing key are one profile from the start; a profile holds all its spellings, initials and contacts. Names that state two brand words and a trade (full forms) join the profile of the
+same form, and profiles whose full forms differ by a typo in one word merge. Then what is left is blocked against the profiles by everything a spelling can turn into: each two of the words, one letter dropped
+from a word (which finds any single typo and swap), an initial, words run together, no trade. A name joins a profile if it is the only one at the best kind of key. Each merge adds its spellings and
+initials to the profile, and what is still left is matched again with the new spellings only, until nothing more merges. Names that meet no profile are profiles themselves, whatever they are made of, and merge
+among each other. Names that several profiles fit are decided by a shared phone or host, if a brand word agrees; a spelling that was unknown until then is blocked again. Profiles that one listing key joins are one.
 
-All blocking keys hold both brand words in some form, so a word that a third of all names share makes no large block.
+All blocking keys hold two brand words in some form, or one with the trade, so a word that a third of all names share makes no large block.
 """
 
 from __future__ import annotations
@@ -53,7 +53,7 @@ def parsed(rows: DataFrame) -> DataFrame:
 
 
 def _is_full() -> Column:
-    return (F.size("words") == 2) & (F.length(F.col("words")[0]) > 1) & (F.length(F.col("words")[1]) > 1) & (F.col("trade") != "")
+    return (F.size("words") == 2) & F.forall("words", lambda w: F.length(w) > 1) & (F.col("trade") != "")
 
 
 def _dropped(x: Column) -> Column:
@@ -69,17 +69,42 @@ def _run_together(a: Column, b: Column) -> Column:
     return F.regexp_replace(F.concat(a, b), r"(.)\1+", "$1")
 
 
-def profile_keys(full: DataFrame) -> DataFrame:
-    """Every key under which the full forms ``(entity, words, trade)`` may be found: ``(key, entity)``."""
-    a, b, t = F.array_min("words"), F.array_max("words"), F.col("trade")
+#: Words of a name are taken together if they are at most so many words apart.
+REACH = 12
+
+
+def _twos(words: Column) -> Column:
+    """Each two words at most ``REACH`` apart, both ways round, as an array of structs ``(x, y, at)``; ``at`` is 1 for the first two, 2 for others."""
+    n = F.size(words)
+    one_way = F.flatten(F.transform(words, lambda x, i: F.transform(F.slice(words, i + 2, F.lit(REACH)), lambda y, j: F.struct(x.alias("x"), y.alias("y"), F.when(i + j == 0, 1).otherwise(2).alias("at"), (j == 0).alias("next")))))
+    none = F.filter(F.array(F.struct(F.lit("").alias("x"), F.lit("").alias("y"), F.lit(1).alias("at"), F.lit(True).alias("next"))), lambda z: F.lit(False))
+    return F.when(n >= 2, F.concat(one_way, F.transform(one_way, lambda z: F.struct(z["y"].alias("x"), z["x"].alias("y"), z["at"].alias("at"), z["next"].alias("next"))))).otherwise(none)
+
+
+def _split(forms: DataFrame) -> DataFrame:
+    forms = forms.withColumn("long", F.filter("words", lambda w: F.length(w) > 1)).withColumn("short", F.filter("words", lambda w: F.length(w) == 1))
+    return forms.withColumn("two", _twos(F.col("long")))
+
+
+def typo_keys(full: DataFrame, to: str = "entity") -> DataFrame:
+    """``(key, to)`` of forms with two words or more: one word, and another without any one letter."""
+    return _split(full).select(to, F.explode(F.array_distinct(F.flatten(F.transform("two", lambda z: F.transform(_dropped(z["x"]), lambda v: _key("typo", z["y"], F.col("trade"), v)))))).alias("key"))
+
+
+def profile_keys(spellings: DataFrame) -> DataFrame:
+    """Every key under which spellings ``(entity, words, trade)`` may be found: ``(key, entity)``. Spellings without a trade are found without it only."""
+    trades = F.array_distinct(F.array("trade", F.lit("")))
+    each = lambda f: F.flatten(F.transform(trades, f))
     first = lambda x: F.substring(x, 1, 1)
     keys = F.concat(
-        F.array(_key("pair", a, b, t), _key("pair", a, b, F.lit("")), _key("initial", a, first(b), t), _key("initial", b, first(a), t), _key("initial", a, first(b), F.lit("")), _key("initial", b, first(a), F.lit(""))),
-        F.array(*(_key("run", w, x) for w in (_run_together(a, b), _run_together(b, a)) for x in (t, F.lit("")))),
-        F.transform(_dropped(a), lambda x: _key("typo", b, t, x)),
-        F.transform(_dropped(b), lambda x: _key("typo", a, t, x)),
+        each(lambda t: F.transform("two", lambda z: _key("pair", F.least(z["x"], z["y"]), F.greatest(z["x"], z["y"]), t))),
+        each(lambda t: F.transform("two", lambda z: _key("initial", z["x"], first(z["y"]), t))),
+        each(lambda t: F.flatten(F.transform("long", lambda x: F.transform("short", lambda y: _key("initial", x, y, t))))),
+        each(lambda t: F.transform(F.filter("two", lambda z: z["next"]), lambda z: _key("run", _run_together(z["x"], z["y"]), t))),
+        F.when(F.col("trade") != "", F.flatten(F.transform("two", lambda z: F.transform(_dropped(z["x"]), lambda v: _key("typo", z["y"], F.col("trade"), v))))).otherwise(F.array().cast("array<long>")),
+        F.when((F.size("long") == 1) & (F.size("short") == 0) & (F.col("trade") != ""), F.transform(_dropped(F.col("long")[0]), lambda v: _key("one", v, F.col("trade")))).otherwise(F.array().cast("array<long>")),
     )
-    return full.select("entity", F.explode(F.array_distinct(keys)).alias("key"))
+    return _split(spellings).select("entity", F.explode(F.array_distinct(keys)).alias("key"))
 
 
 def name_keys(forms: DataFrame) -> DataFrame:
@@ -88,16 +113,14 @@ def name_keys(forms: DataFrame) -> DataFrame:
     A name without a trade is looked for without it; one with a trade only with it.
     """
     t = F.col("trade")
-    forms = forms.withColumn("long", F.filter("words", lambda w: F.length(w) > 1)).withColumn("short", F.filter("words", lambda w: F.length(w) == 1))
-    x, y, i = F.col("long")[0], F.get("long", F.lit(1)), F.get("short", F.lit(0))
     found = lambda rank, keys: F.transform(keys, lambda k: F.struct(F.lit(rank).alias("rank"), k.alias("key")))
     none = F.array().cast("array<long>")
-    pairs = F.when(F.size("long") >= 2, F.array(_key("pair", F.least(x, y), F.greatest(x, y), t))).otherwise(none)
-    more = F.when(F.size("long") >= 3, F.array(*(_key("pair", F.least(p, q), F.greatest(p, q), t) for p, q in ((F.col("long")[0], F.col("long")[2]), (F.col("long")[1], F.col("long")[2]))))).otherwise(none)
+    pairs = F.transform("two", lambda z: F.struct(z["at"].alias("rank"), _key("pair", F.least(z["x"], z["y"]), F.greatest(z["x"], z["y"]), t).alias("key")))
     run = F.transform(F.filter("long", lambda w: F.length(w) >= 6), lambda w: _key("run", w, t))
-    initial = F.when(F.size("short") >= 1, F.transform("long", lambda w: _key("initial", w, i, t))).otherwise(none)
-    typo = F.when((F.size("long") >= 2) & (t != ""), F.concat(F.transform(_dropped(x), lambda v: _key("typo", y, t, v)), F.transform(_dropped(y), lambda v: _key("typo", x, t, v)))).otherwise(none)
-    return forms.select("form", F.explode(F.concat(found(1, pairs), found(2, more), found(3, run), found(4, typo), found(5, initial))).alias("k")).select("form", "k.rank", "k.key")
+    initial = F.flatten(F.transform("long", lambda w: F.transform("short", lambda i: _key("initial", w, i, t))))
+    typo = F.when(t != "", F.flatten(F.transform("two", lambda z: F.transform(_dropped(z["x"]), lambda v: _key("typo", z["y"], t, v))))).otherwise(none)
+    one = F.when((F.size("long") == 1) & (F.size("short") == 0) & (t != ""), F.transform(_dropped(F.col("long")[0]), lambda v: _key("one", v, t))).otherwise(none)
+    return _split(forms).select("form", F.explode(F.array_distinct(F.concat(pairs, found(3, run), found(4, typo), found(5, initial), found(6, one)))).alias("k")).select("form", "k.rank", "k.key")
 
 
 def _met(sought: DataFrame, index: DataFrame) -> DataFrame:
@@ -125,72 +148,111 @@ def _near_words(asked: DataFrame, known: DataFrame) -> DataFrame:
     return w.join(y, "k").select("w", "y").distinct().where(_near(F.col("w"), F.col("y")))
 
 
-def resolve(ours: DataFrame, theirs: DataFrame, left_contacts: DataFrame, right_contacts: DataFrame, max_rounds: int = 4, crowded: int = 20) -> tuple[DataFrame, DataFrame]:
+def _merged(links: DataFrame) -> DataFrame | None:
+    """``(node, root)`` of what links ``(x, y)`` put together; None without any."""
+    from milap.llm.components import hash_to_min
+
+    links = stage(links.where("x <> y").distinct(), "links")
+    return stage(hash_to_min(links, "x", "y").select("node", F.col("group_id").alias("root")), "roots") if links.limit(1).count() else None
+
+
+def _rooted(df: DataFrame, roots: DataFrame | None, c: str = "entity") -> DataFrame:
+    return df if roots is None else df.join(roots.withColumnRenamed("node", c), c, "left").withColumn(c, F.coalesce("root", c)).drop("root")
+
+
+def _blocked(sought: DataFrame, candidates: DataFrame, left_over: DataFrame, max_rounds: int) -> tuple[DataFrame, DataFrame, DataFrame | None]:
+    """Match and rematch until nothing merges: ``(still sought, candidates of these, found forms and their entities or None)``."""
+    known = None
+    for _ in range(max_rounds):
+        candidates = stage(candidates, "candidates")
+        found = stage(_decided(candidates), "found")
+        if not found.limit(1).count():
+            return sought, candidates, known
+        known = found if known is None else known.unionByName(found)
+        # new spellings and initials re-enter blocking
+        grown = left_over.join(found, "form").select("words", "trade", "entity")
+        sought = sought.join(found.select("form"), "form", "left_anti")
+        candidates = candidates.join(found.select("form"), "form", "left_anti").unionByName(_met(sought, profile_keys(grown))).groupBy("form", "entity").agg(F.min("rank").alias("rank")).select("form", "rank", "entity")
+    raise RuntimeError(f"names still merge after {max_rounds} rounds")
+
+
+def resolve(ours: DataFrame, theirs: DataFrame, left_contacts: DataFrame, right_contacts: DataFrame, max_rounds: int = 60, crowded: int = 20) -> tuple[DataFrame, DataFrame]:
     """Entities of the rows of two tables: ``(owner, entity)`` for the left's owners, ``(id, entity)`` for the right's rows.
 
     Both are ``parsed``; rows of one owner are known to be one business, the right's owner is not used. Contacts: ``(owner, contact)`` and
     ``(id, contact)``, phones and hosts as strings. A contact of more than ``crowded`` entities is asked by near words, which changes the plan and not the result. Rows whose name means nothing, and rows that nothing decides, are in no result. Repeated rows don't matter.
+    ``RuntimeError`` if names still merge after ``max_rounds``.
     """
-    # profiles: owners, and owners that state one and the same full form are one
-    stated = ours.where(_is_full()).groupBy("form").agg(F.min("owner").alias("entity"), F.max("owner").alias("other"), F.first("words").alias("words"), F.first("trade").alias("trade"))
-    stated = stage(stated, "stated")
-    if stated.where("entity <> other").limit(1).count():
-        from milap.llm.components import hash_to_min
-
-        same = ours.where(_is_full()).select("form", "owner").distinct().join(stated.where("entity <> other").select("form", "entity"), "form")
-        alias = stage(hash_to_min(same, "owner", "entity").select(F.col("node").alias("owner"), F.col("group_id").alias("root")), "alias")
-    else:
-        alias = None
-    rooted = lambda df, c: df if alias is None else df.join(alias.withColumnRenamed("owner", c), c, "left").withColumn(c, F.coalesce("root", c)).drop("root")
-    full = rooted(stated, "entity").select("form", "words", "trade", "entity")
-    named = rooted(ours.where(_is_full()).select("owner").distinct().withColumn("entity", F.col("owner")), "entity").select("owner", "entity")
-    # full forms of the other side join the profile of the same form; those of no profile that aren't a misspelling of one are new profiles
-    forms = theirs.groupBy("form").agg(F.first("words").alias("words"), F.first("trade").alias("trade"), F.count("*").alias("n"))
+    form = lambda df: df.groupBy("form").agg(F.min("words").alias("words"), F.min("trade").alias("trade"))
+    # profiles: owners, and owners that state one and the same full form are one; full forms of the other side that no owner states are profiles too
+    full_ours = ours.where(_is_full())
+    stated = stage(full_ours.groupBy("form").agg(F.min("owner").alias("entity"), F.max("owner").alias("other"), F.min("words").alias("words"), F.min("trade").alias("trade")), "stated")
+    their_forms = stage(form(theirs), "their_forms")
+    nodes = stage(stated.select("form", "words", "trade", "entity").unionByName(their_forms.where(_is_full()).join(stated.select("form"), "form", "left_anti").select("form", "words", "trade", F.col("form").alias("entity"))), "nodes")
+    # profiles whose full forms differ by a typo merge; of those that share a key all are linked to the smallest
+    keyed = typo_keys(nodes)
+    near = keyed.join(keyed.groupBy("key").agg(F.min("entity").alias("lo"), F.max("entity").alias("hi")).where("lo < hi").select("key", "lo"), "key").select(F.col("entity").alias("x"), F.col("lo").alias("y"))
+    same = full_ours.select("form", "owner").join(stated.where("entity <> other").select("form", "entity"), "form").select(F.col("owner").alias("x"), F.col("entity").alias("y"))
+    roots = _merged(same.unionByName(near))
+    full = stage(_rooted(nodes, roots), "full")
+    named = _rooted(full_ours.select("owner").distinct().withColumn("entity", F.col("owner")), roots)
     weak_owners = ours.join(named.select("owner"), "owner", "left_anti")
-    forms = stage(forms.unionByName(weak_owners.groupBy("form").agg(F.first("words").alias("words"), F.first("trade").alias("trade"), F.lit(0).cast("long").alias("n"))).groupBy("form").agg(F.first("words").alias("words"), F.first("trade").alias("trade"), F.max("n").alias("n")).join(full.select("form", "entity"), "form", "left"), "forms")
+    forms = stage(form(their_forms.unionByName(form(weak_owners))).join(full.select("form", "entity"), "form", "left"), "forms")
     settled = forms.where("entity is not null").select("form", "entity")
     left_over = forms.where("entity is null").select("form", "words", "trade")
     # every candidate is met once: what is sought against the profiles' keys, later only against the keys of new spellings
     sought = stage(name_keys(left_over), "sought")
-    candidates = stage(_met(sought, profile_keys(full)), "candidates")
-    is_new = left_over.where(_is_full())
-    typo = stage(_decided(candidates.where("rank = 4").join(is_new.select("form"), "form", "left_semi")), "typo")
-    fresh = stage(is_new.join(typo, "form", "left_anti").select("form", "words", "trade", F.col("form").alias("entity")), "fresh")
-    known = typo.unionByName(fresh.select("form", "entity"))
-    spellings = full.select("words", "trade", "entity").unionByName(fresh.select("words", "trade", "entity"))
-    grown = is_new.join(typo, "form").select("words", "trade", "entity")
-    sought = sought.join(known.select("form"), "form", "left_anti")
-    candidates = candidates.join(known.select("form"), "form", "left_anti").unionByName(_met(sought, profile_keys(fresh.select("words", "trade", "entity").unionByName(grown))))
+    sought, candidates, known = _blocked(sought, _met(sought, profile_keys(full)), left_over, max_rounds)
+    by_form = settled if known is None else stage(settled.unionByName(known), "by_form")
     for _ in range(max_rounds):
-        candidates = stage(candidates, "candidates")
-        found = stage(_decided(candidates), "found")
-        if not found.limit(1).count():
+        rows = stage(theirs.select("id", "form").join(by_form, "form").select("id", "entity").distinct(), "rows")
+        owned = stage(named.unionByName(weak_owners.select("owner", "form").join(by_form, "form").select("owner", "entity")).distinct(), "owners")
+        # an owner's names may have joined several profiles, which are one then
+        apart = owned.groupBy("owner").agg(F.min("entity").alias("lo"), F.max("entity").alias("hi")).where("lo < hi")
+        roots = _merged(owned.join(apart.select("owner", "lo"), "owner").select(F.col("entity").alias("x"), F.col("lo").alias("y")))
+        if roots is not None:
+            named, by_form, full, rows, owned, candidates = (stage(_rooted(x, roots).distinct(), "rooted") for x in (named, by_form, full, rows, owned, candidates))
+        spellings = full.select("words", "trade", "entity").unionByName(left_over.join(by_form, "form").select("words", "trade", "entity"))
+        one = _by_contacts(theirs, weak_owners, owned, rows, left_contacts, right_contacts, spellings, crowded)
+        # a spelling that met no profile, or none that alone fits, is learnt if all rows that contacts decide agree; one that several profiles fit stays open
+        open_forms = candidates.select("form").distinct()
+        learnt = theirs.select("id", "form").join(one.where("not ours").select("id", "entity"), "id").unionByName(weak_owners.select(F.col("owner").alias("id"), "form").join(one.where("ours").select("id", "entity"), "id"))
+        learnt = stage(learnt.groupBy("form").agg(F.min("entity").alias("entity"), F.max("entity").alias("hi")).where("entity = hi").join(open_forms, "form", "left_anti").select("form", "entity"), "learnt")
+        if not learnt.limit(1).count():
             break
-        known = known.unionByName(found)
-        spellings = spellings.unionByName(grown)
-        # new spellings re-enter blocking
-        long = F.filter("words", lambda w: F.length(w) > 1)
-        grown = stage(left_over.join(found, "form").where((F.size(long) >= 2) & (F.col("trade") != "")).select(F.slice(long, 1, 2).alias("words"), "trade", "entity"), "grown")
-        sought = sought.join(found.select("form"), "form", "left_anti")
-        candidates = candidates.join(found.select("form"), "form", "left_anti").unionByName(_met(sought, profile_keys(grown)))
-    by_form = stage(settled.unionByName(known), "by_form")
-    right_rows = theirs.select("id", "form").join(by_form, "form").select("id", "entity").distinct()
-    owners = named.unionByName(weak_owners.select("owner", "form").join(by_form, "form").groupBy("owner").agg(F.min("entity").alias("entity")).select("owner", "entity"))
-    right_rows, owners = stage(right_rows, "rows"), stage(owners, "owners")
-    # what is left: a shared contact decides, if a brand word agrees and the trades don't differ
+        grown = left_over.join(learnt, "form").select("words", "trade", "entity")
+        sought = stage(sought.join(learnt.select("form"), "form", "left_anti"), "sought")
+        met = candidates.unionByName(_met(sought, profile_keys(grown))).groupBy("form", "entity").agg(F.min("rank").alias("rank")).select("form", "rank", "entity")
+        sought, candidates, known = _blocked(sought, met, left_over, max_rounds)
+        by_form = stage(by_form.unionByName(learnt) if known is None else by_form.unionByName(learnt).unionByName(known), "by_form")
+    else:
+        raise RuntimeError(f"names still merge after {max_rounds} rounds")
+    rows = stage(rows.unionByName(one.where("not ours").select("id", "entity")), "rows")
+    owned = owned.unionByName(one.where("ours").select(F.col("id").alias("owner"), "entity")).groupBy("owner").agg(F.min("entity").alias("entity"))
+    # what meets no profile is one itself, and those merge among each other
+    alone = stage(left_over.join(by_form.select("form"), "form", "left_anti").join(open_forms, "form", "left_anti").withColumn("entity", F.col("form")), "alone")
+    found = _decided(_met(sought.join(alone.select("form"), "form", "left_semi"), profile_keys(alone)).where("form <> entity"))
+    alone = stage(_rooted(alone, _merged(found.select(F.col("form").alias("x"), F.col("entity").alias("y")))).select("form", "entity"), "alone")
+    rest_rows = theirs.select("id", "form").join(alone, "form").join(rows, "id", "left_anti").select("id", "entity").distinct()
+    rest_owners = weak_owners.select("owner", "form").join(alone, "form").join(owned, "owner", "left_anti").groupBy("owner").agg(F.min("entity").alias("entity"))
+    return owned.unionByName(rest_owners), rows.unionByName(rest_rows)
+
+
+def _by_contacts(theirs: DataFrame, weak_owners: DataFrame, owned: DataFrame, rows: DataFrame, left_contacts: DataFrame, right_contacts: DataFrame, spellings: DataFrame, crowded: int) -> DataFrame:
+    """``(ours, id, entity)`` of rows and owners without entity that a shared contact decides, if a brand word agrees and the trades don't differ."""
     # only contacts that a row without entity states are looked up
-    rest_rows = stage(theirs.join(right_rows, "id", "left_anti").select("id", "words", "trade").join(right_contacts, "id"), "rest_rows")
-    rest_owners = stage(weak_owners.join(owners, "owner", "left_anti").select("owner", "words", "trade").join(left_contacts, "owner"), "rest_owners")
+    rest_rows = stage(theirs.join(rows, "id", "left_anti").select("id", "words", "trade").join(right_contacts, "id"), "rest_rows")
+    rest_owners = stage(weak_owners.join(owned, "owner", "left_anti").select("owner", "words", "trade").join(left_contacts, "owner"), "rest_owners")
     asked = stage(rest_rows.select("contact").unionByName(rest_owners.select("contact")).distinct(), "asked")
-    contact = stage(left_contacts.join(asked, "contact", "left_semi").join(owners, "owner").select("contact", "entity").unionByName(right_contacts.join(asked, "contact", "left_semi").join(right_rows, "id").select("contact", "entity")).distinct(), "contact")
+    contact = stage(left_contacts.join(asked, "contact", "left_semi").join(owned, "owner").select("contact", "entity").unionByName(right_contacts.join(asked, "contact", "left_semi").join(rows, "id").select("contact", "entity")).distinct(), "contact")
     crowd = stage(contact.groupBy("contact").agg(F.count("*").alias("n")).where(F.col("n") > crowded).select("contact"), "crowd")
     rest = stage(rest_rows.select(F.lit(False).alias("ours"), "id", "words", "trade", "contact").unionByName(rest_owners.select(F.lit(True).alias("ours"), F.col("owner").alias("id"), "words", "trade", "contact")), "rest")
-    a, b = F.array_min("p.words"), F.array_max("p.words")
-    brands = F.array_distinct(F.array(a, b, _run_together(a, b), _run_together(b, a)))
-    few = rest.join(contact.join(crowd, "contact", "left_anti"), "contact").select("ours", "id", "contact", "words", "trade", "entity").distinct().alias("r").join(spellings.alias("p"), F.col("r.entity") == F.col("p.entity"))
-    few = few.where(((F.col("r.trade") == "") | (F.col("r.trade") == F.col("p.trade"))) & F.exists("r.words", lambda w: (F.length(w) > 2) & F.exists(brands, lambda y: _near(w, y)))).select("r.ours", "r.id", "r.contact", F.col("r.entity").alias("lo"), F.col("r.entity").alias("hi"))
+    # a spelling's words, and neighbours run together
+    said_by = _split(spellings).select("entity", "trade", F.array_distinct(F.concat("long", F.transform(F.filter("two", lambda z: z["next"]), lambda z: _run_together(z["x"], z["y"])))).alias("brands"))
+    few = rest.join(contact.join(crowd, "contact", "left_anti"), "contact").select("ours", "id", "contact", "words", "trade", "entity").distinct().alias("r").join(said_by.alias("p"), F.col("r.entity") == F.col("p.entity"))
+    few = few.where(((F.col("r.trade") == "") | (F.col("r.trade") == F.col("p.trade"))) & F.exists("r.words", lambda w: (F.length(w) > 2) & F.exists("p.brands", lambda y: _near(w, y)))).select("r.ours", "r.id", "r.contact", F.col("r.entity").alias("lo"), F.col("r.entity").alias("hi"))
     # in a crowd, words meet near words only, and of the entities that say a word the smallest and the largest tell whether it is one
-    said = contact.join(crowd, "contact").join(spellings.alias("p"), "entity").select("contact", "entity", "p.trade", F.explode(brands).alias("y"))
+    said = contact.join(crowd, "contact").join(said_by, "entity").select("contact", "entity", "trade", F.explode("brands").alias("y"))
     said = stage(said.select("contact", "entity", "y", F.explode(F.array_distinct(F.array("trade", F.lit("")))).alias("trade")).groupBy("contact", "y", "trade").agg(F.min("entity").alias("lo"), F.max("entity").alias("hi")), "said")
     asking = stage(rest.join(crowd, "contact").select("ours", "id", "contact", "trade", F.explode(F.array_distinct(F.filter("words", lambda w: F.length(w) > 2))).alias("w")), "asking")
     near = stage(_near_words(asking.select("w").distinct(), said.select("y").distinct()), "near")
@@ -198,8 +260,7 @@ def resolve(ours: DataFrame, theirs: DataFrame, left_contacts: DataFrame, right_
     many = asking.join(heard, ["contact", "w", "trade"]).select("ours", "id", "contact", "lo", "hi")
     # a contact decides if it leaves one entity; contacts that decide must agree
     left_one = few.unionByName(many).groupBy("ours", "id", "contact").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi")).where("lo = hi")
-    one = stage(left_one.groupBy("ours", "id").agg(F.min("lo").alias("lo"), F.max("lo").alias("hi")).where("lo = hi").select("ours", "id", F.col("lo").alias("entity")), "one")
-    return owners.unionByName(one.where("ours").select(F.col("id").alias("owner"), "entity")), right_rows.unionByName(one.where("not ours").select("id", "entity"))
+    return stage(left_one.groupBy("ours", "id").agg(F.min("lo").alias("lo"), F.max("lo").alias("hi")).where("lo = hi").select("ours", "id", F.col("lo").alias("entity")), "one")
 
 
 def phone_digits(c: Column) -> Column:

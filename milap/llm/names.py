@@ -1,8 +1,8 @@
 """Variant spellings of names, by merge-and-rematch.
 
 Records of one listing key are one profile from the start; a profile holds all its spellings, initials and contacts. Names that state two brand words and a trade (full forms) join the profile of the
-same form, and profiles whose full forms differ by a typo in one word merge. Then what is left is blocked against the profiles by everything a spelling can turn into: each two of the words, one letter dropped
-from a word (which finds any single typo and swap), an initial, words run together, no trade. A name joins a profile if it is the only one at the best kind of key. Each merge adds its spellings and
+same form, and profiles whose full forms differ by a typo in one word, or by a nickname for one, merge. Then what is left is blocked against the profiles by everything a spelling can turn into: each two of the words, one letter dropped
+from a word (which finds any single typo and swap), an initial, a nickname, words run together, no trade. A name joins a profile if it is the only one at the best kind of key. Each merge adds its spellings and
 initials to the profile, and what is still left is matched again with the new spellings only, until nothing more merges. Names that meet no profile are profiles themselves, whatever they are made of, and merge
 among each other. Names that several profiles fit are decided by a shared phone or host, if a brand word agrees; a spelling that was unknown until then is blocked again. Profiles that one listing key joins are one.
 
@@ -91,6 +91,20 @@ def typo_keys(full: DataFrame, to: str = "entity") -> DataFrame:
     return _split(full).select(to, F.explode(F.array_distinct(F.flatten(F.transform("two", lambda z: F.transform(_dropped(z["x"]), lambda v: _key("typo", z["y"], F.col("trade"), v)))))).alias("key"))
 
 
+def nick_keys(z: Column, trade: Column, long: bool) -> Column:
+    """Keys of a word beside another that stays: as a nickname, which is the beginning of a word and another vowel, or as a word that a nickname of three to six letters and a vowel may stand for."""
+    if not long:
+        return F.when(F.length(z["x"]) >= 4, F.array(_key("nick", F.substring(z["x"], F.lit(1), F.length(z["x"]) - 1), z["y"], trade))).otherwise(F.array().cast("array<long>"))
+    ends = F.filter(F.array(*map(F.lit, (3, 4, 5, 6))), lambda n: n <= F.length(z["x"]) - 2)
+    return F.transform(ends, lambda n: _key("nick", F.substring(z["x"], F.lit(1), n), z["y"], trade))
+
+
+def is_nick(x: Column, y: Column) -> Column:
+    """Is one of the two words a nickname of the other."""
+    one = lambda a, b: (F.length(a) >= 4) & (F.length(b) > F.length(a)) & F.startswith(b, F.substring(a, F.lit(1), F.length(a) - 1))
+    return one(x, y) | one(y, x)
+
+
 def profile_keys(spellings: DataFrame) -> DataFrame:
     """Every key under which spellings ``(entity, words, trade)`` may be found: ``(key, entity)``. Spellings without a trade are found without it only."""
     trades = F.array_distinct(F.array("trade", F.lit("")))
@@ -103,6 +117,7 @@ def profile_keys(spellings: DataFrame) -> DataFrame:
         each(lambda t: F.transform(F.filter("two", lambda z: z["next"]), lambda z: _key("run", _run_together(z["x"], z["y"]), t))),
         F.when(F.col("trade") != "", F.flatten(F.transform("two", lambda z: F.transform(_dropped(z["x"]), lambda v: _key("typo", z["y"], F.col("trade"), v))))).otherwise(F.array().cast("array<long>")),
         F.when((F.size("long") == 1) & (F.size("short") == 0) & (F.col("trade") != ""), F.transform(_dropped(F.col("long")[0]), lambda v: _key("one", v, F.col("trade")))).otherwise(F.array().cast("array<long>")),
+        F.when(F.col("trade") != "", F.flatten(F.transform("two", lambda z: nick_keys(z, F.col("trade"), True)))).otherwise(F.array().cast("array<long>")),
     )
     return _split(spellings).select("entity", F.explode(F.array_distinct(keys)).alias("key"))
 
@@ -120,7 +135,8 @@ def name_keys(forms: DataFrame) -> DataFrame:
     initial = F.flatten(F.transform("long", lambda w: F.transform("short", lambda i: _key("initial", w, i, t))))
     typo = F.when(t != "", F.flatten(F.transform("two", lambda z: F.transform(_dropped(z["x"]), lambda v: _key("typo", z["y"], t, v))))).otherwise(none)
     one = F.when((F.size("long") == 1) & (F.size("short") == 0) & (t != ""), F.transform(_dropped(F.col("long")[0]), lambda v: _key("one", v, t))).otherwise(none)
-    return _split(forms).select("form", F.explode(F.array_distinct(F.concat(pairs, found(3, run), found(4, typo), found(5, initial), found(6, one)))).alias("k")).select("form", "k.rank", "k.key")
+    nick = F.when(t != "", F.flatten(F.transform("two", lambda z: nick_keys(z, t, False)))).otherwise(none)
+    return _split(forms).select("form", F.explode(F.array_distinct(F.concat(pairs, found(3, run), found(4, typo), found(5, initial), found(6, one), found(7, nick)))).alias("k")).select("form", "k.rank", "k.key")
 
 
 def _met(sought: DataFrame, index: DataFrame) -> DataFrame:
@@ -195,7 +211,14 @@ def resolve(ours: DataFrame, theirs: DataFrame, left_contacts: DataFrame, right_
     same = full_ours.select("form", "owner").join(stated.where("entity <> other").select("form", "entity"), "form").select(F.col("owner").alias("x"), F.col("entity").alias("y"))
     roots = _merged(same.unionByName(near))
     full = stage(_rooted(nodes, roots), "full")
+    # a nickname beside an equal word joins the profile whose name it may stand for, if that is one
+    two = _split(full)
+    short = two.select(F.col("entity").alias("x"), F.explode(F.flatten(F.transform("two", lambda z: nick_keys(z, F.col("trade"), False)))).alias("key"))
+    meant = two.select("entity", F.explode(F.flatten(F.transform("two", lambda z: nick_keys(z, F.col("trade"), True)))).alias("key")).groupBy("key").agg(F.min("entity").alias("y"), F.max("entity").alias("hi")).where("y = hi").select("key", "y")
+    more = _merged(short.join(meant, "key").select("x", "y"))
+    full = full if more is None else stage(_rooted(full, more), "full")
     named = _rooted(full_ours.select("owner").distinct().withColumn("entity", F.col("owner")), roots)
+    named = _rooted(named, more)
     weak_owners = ours.join(named.select("owner"), "owner", "left_anti")
     forms = stage(form(their_forms.unionByName(form(weak_owners))).join(full.select("form", "entity"), "form", "left"), "forms")
     settled = forms.where("entity is not null").select("form", "entity")

@@ -28,6 +28,7 @@ _NUMBERED = re.compile(r"\b([a-z]{3,})\s*-?\s*(\d{1,2})\b")
 _PLAIN = re.compile(rf"(?:^|,)\s*{_N}\s*,?\s+([a-z]{{3,}})\s*(?=,|$)")
 _ALONE = re.compile(rf"(?:^|,)\s*{_N}\s*(?=,|$)")
 _WORD = re.compile(r"[a-z]{2,}")
+_BESIDE_NUMBER = re.compile(r"\b([a-z]{3,})(?=\s*[-,#]?\s*\d{1,4}[a-z]?\b)|(?<![\d-])\b\d{1,4}[a-z]?\s*,?\s+([a-z]{3,})\b")
 _LAND = re.compile(r"\b(?:" + "|".join(sorted(COUNTRY)) + r")\b\.?")
 _SEP = re.compile(r"[\n;|·]+| - ")
 
@@ -85,3 +86,18 @@ def parse_address(text: str | None) -> tuple[str, str, str, str, list[str]]:
             ward = m[1]
     places = [sound(w) for w in _WORD.findall(t) if w not in COUNTRY and w not in TOWN and w not in FILLER and not _TYPE.match(w)]
     return sound(street) if street not in FILLER else "", number.lstrip("0"), ward.lstrip("0"), post[0] if post else "", places
+
+
+def other_readings(text: str | None) -> list[tuple[str, str, str, str, list[str]]]:
+    """Readings of an address without a marked street: each of its words beside a number taken for the street, with that number."""
+    plain = plain_text(text or "")
+    out = []
+    for m in _BESIDE_NUMBER.finditer(plain):
+        word = m[1] or m[2]
+        if word in FILLER or word in TOWN or word in COUNTRY or _TYPE.match(word):
+            continue
+        at = m.end(1) if m[1] else m.end(2)
+        read = parse_address(plain[:at] + " street" + plain[at:])
+        if read[0] and read[1] and read not in out:
+            out.append(read)
+    return out

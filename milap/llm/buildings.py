@@ -1,9 +1,11 @@
 """Addresses of one building written differently, by mined rewrites.
 
-Addresses are taken apart into street, house number, ward, postcode and place words. A rewrite replaces a rare word by a frequent one of
-the same role. Candidates look alike (one letter more, less, other or swapped, twice at most); they are kept if they are found in addresses that agree elsewhere (the same
+Addresses are taken apart into street, house number, ward, postcode and place words. A rewrite replaces a rare word by a frequent one of the same role. Candidates look alike (one letter more, less, other
+or swapped, twice at most) or abbreviate (the beginning of the word or of its consonants, down to its initial, or the consonants); they are kept if they are found in addresses that agree elsewhere (the same
 number and place for a street, the same street and number for a place) more often than chance allows. Addresses are then rewritten and matched again,
 as rewritten streets make more places agree and the other way round, until no new rewrite appears.
+
+Where no word says what the street is, each word beside a number may be it; that word is taken which the surely read addresses use for streets.
 """
 
 from __future__ import annotations
@@ -15,27 +17,42 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from milap.llm.addresses import parse_address
+from milap.llm.addresses import other_readings, parse_address
 from milap.llm.names import _OTHER, _dropped
 from milap.session import stage
 
 
 def address_parts(rows: DataFrame) -> DataFrame:
-    """``(side, id, address)`` -> ``(side, id, squeezed, street, number, ward, post, places)`` of addresses with street and number."""
+    """``(side, id, address)`` -> ``(side, id, squeezed, street, number, ward, post, places, sure)`` of addresses with street and number.
+
+    An address in which no word is marked as the street has one row with ``sure`` false for each word that may be.
+    """
 
     def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["side", "id", "squeezed", "street", "number", "ward", "post", "places"]
+        names = ["side", "id", "squeezed", "street", "number", "ward", "post", "places", "sure"]
         for b in batches:
             out = []
             for side, i, a in zip(b.column("side").to_pylist(), b.column("id").to_pylist(), b.column("address").to_pylist(), strict=True):
-                street, number, ward, post, places = parse_address(a)
-                if street and number:
-                    out.append((side, i, _OTHER.sub("", a.lower()), street, number, ward, post, places))
+                read = parse_address(a)
+                if read[0] and read[1]:
+                    out.append((side, i, _OTHER.sub("", a.lower()), *read, True))
+                else:
+                    out += ((side, i, _OTHER.sub("", a.lower()), *r, False) for r in other_readings(a))
             if out:
-                kinds = [pa.int8(), pa.int64(), *[pa.string()] * 5, pa.list_(pa.string())]
+                kinds = [pa.int8(), pa.int64(), *[pa.string()] * 5, pa.list_(pa.string()), pa.bool_()]
                 yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*out, strict=True), kinds, strict=True)], names)
 
-    return rows.where("address is not null and address <> ''").select("side", "id", "address").mapInArrow(parse, "side byte, id long, squeezed string, street string, number string, ward string, post string, places array<string>")
+    return rows.where("address is not null and address <> ''").select("side", "id", "address").mapInArrow(parse, "side byte, id long, squeezed string, street string, number string, ward string, post string, places array<string>, sure boolean")
+
+
+def chosen_readings(parts: DataFrame, seen: int = 5) -> DataFrame:
+    """``parts`` with the sure rows, and of the others those whose word the sure ones use for streets, at least ``seen`` times and more often than for places, if that leaves one street and number."""
+    sure = parts.where("sure")
+    use = sure.select(F.col("street").alias("w"), F.lit(1).alias("s")).unionByName(sure.select(F.explode("places").alias("w"), F.lit(-1).alias("s")))
+    streets = use.groupBy("w").agg(F.sum("s").alias("s"), F.count(F.when(F.col("s") > 0, 1)).alias("n")).where((F.col("s") > 0) & (F.col("n") >= seen)).select(F.col("w").alias("street"))
+    maybe = stage(parts.where("not sure").join(streets, "street"), "maybe")
+    one = maybe.groupBy("squeezed").agg(F.min(F.struct("street", "number")).alias("lo"), F.max(F.struct("street", "number")).alias("hi")).where("lo = hi").select("squeezed")
+    return sure.unionByName(maybe.join(one, "squeezed").select(*parts.columns))
 
 
 def _uses(forms: DataFrame) -> DataFrame:
@@ -56,35 +73,48 @@ def _uses(forms: DataFrame) -> DataFrame:
 
 
 def mine_rewrites(forms: DataFrame, alpha: float = 0.01, ratio: float = 4.0) -> DataFrame:
-    """``(role, word, better)``: significant rewrites among ``(street, number, places)``; no ``better`` is itself rewritten.
+    """``(role, word, better)``: significant rewrites among ``(street, number, places)``, of words of any length; no ``better`` is itself rewritten.
 
     With k shared contexts, n contexts of the rare word, the share p of contexts that hold the frequent one, and the share q of all pairs
-    of words that look alike, chance gives n p q alike words in shared contexts; Poisson's bound on k or more of these must be under ``alpha``.
-    The frequent word has at least ``ratio`` times the contexts of the rare one. Of several, the nearest, then the most shared, then the smaller wins.
+    of words that look alike (or abbreviate), chance gives n p q such words in shared contexts; Poisson's bound on k or more of these must be under ``alpha``.
+    The frequent word has at least ``ratio`` times the contexts of the rare one. Of several, the nearest, then the most shared, then the smaller wins; abbreviations come last and need two shared contexts.
     """
     uses = stage(_uses(forms), "uses")
-    words = stage(uses.groupBy("role", "word").agg(F.count("*").alias("n")).where("length(word) >= 4"), "words")
+    words = stage(uses.groupBy("role", "word").agg(F.count("*").alias("n")), "words")
     total = {r["role"]: (r["v"], r["c"]) for r in words.groupBy("role").agg(F.count("*").alias("v"), F.sum("n").alias("c")).collect()}
     # one letter dropped, of the word or of its consonants: a letter typed into a long vowel, which is one letter by sound, makes two more
-    bare = F.concat(F.lit("-"), F.regexp_replace("word", "[aeiou]", ""))
+    consonants = F.regexp_replace("word", "[aeiou]", "")
+    bare = F.concat(F.lit("-"), consonants)
     near = F.concat(_dropped(F.col("word")), F.when(F.length(bare) > 3, _dropped(bare)).otherwise(F.array(bare)))
-    keys = words.select("role", "word", "n", F.explode(F.array_distinct(near)).alias("key")).where("length(key) > 2")
-    a, b = (keys.select("role", "key", F.col("word").alias(w), F.col("n").alias(m)) for w, m in (("word", "n"), ("better", "m")))
-    pairs = a.join(b, ["role", "key"]).where((F.col("m") >= ratio * F.col("n")) & (F.col("word") != F.col("better"))).select("role", "word", "n", "better", "m").distinct().withColumn("far", F.levenshtein("word", "better"))
-    pairs = stage(pairs.where("far <= 2"), "pairs")
-    alike = {r["role"]: r["c"] for r in pairs.groupBy("role").agg(F.count("*").alias("c")).collect()}
+    keys = words.where("length(word) >= 4").select("role", "word", "n", F.explode(F.array_distinct(near)).alias("key")).where("length(key) > 2")
+    side = lambda df, w, m: df.select("role", "key", F.col("word").alias(w), F.col("n").alias(m))
+    often = (F.col("m") >= ratio * F.col("n")) & (F.col("word") != F.col("better"))
+    alike = side(keys, "word", "n").join(side(keys, "better", "m"), ["role", "key"]).where(often).select("role", "word", "n", "better", "m").distinct().withColumn("far", F.levenshtein("word", "better")).where("far <= 2")
+    # abbreviations: what a word may be cut down to, from its initial to all but a letter, with or without its vowels
+    begins = lambda x: F.transform(F.filter(F.sequence(F.lit(1), F.greatest(F.length(x), F.lit(1))), lambda i: i < F.length("word")), lambda i: F.substring(x, F.lit(1), i))
+    cut = words.where("length(word) >= 4").select("role", "word", "n", F.explode(F.array_distinct(F.concat(begins(F.col("word")), begins(F.concat(F.substring("word", 1, 1), F.regexp_replace(F.substring("word", 2, 400), "[aeiou]", "")))))).alias("key"))
+    short = side(words.withColumn("key", F.col("word")), "word", "n").join(side(cut, "better", "m"), ["role", "key"]).where(often).select("role", "word", "n", "better", "m").distinct().withColumn("far", F.lit(3))
+    pairs = stage(alike.unionByName(short.join(alike.select("role", "word", "better"), ["role", "word", "better"], "left_anti")), "pairs")
+    share = {(r["role"], r["cut"]): r["c"] for r in pairs.groupBy("role", (F.col("far") == 3).alias("cut")).agg(F.count("*").alias("c")).collect()}
     shared = pairs.join(uses, ["role", "word"]).join(uses.withColumnRenamed("word", "better"), ["role", "better", "context"]).groupBy("role", "word", "better", "n", "m", "far").agg(F.count("*").alias("k"))
     chance = F.lit(0.0)
     for role, (v, c) in total.items():
-        q = alike.get(role, 0) / max(1.0, v * (v - 1) / 2.0)
-        chance = F.when(F.col("role") == role, F.col("n") * F.col("m") / float(max(1, c)) * q).otherwise(chance)
-    kept = shared.withColumn("tail", F.col("k") * F.log(chance + 1e-300) - F.log(F.factorial(F.least("k", F.lit(20))).cast("double"))).where(F.col("tail") < math.log(alpha))
+        for is_cut in (False, True):
+            q = share.get((role, is_cut), 0) / max(1.0, v * (v - 1) / 2.0)
+            chance = F.when((F.col("role") == role) & ((F.col("far") == 3) == is_cut), F.col("n") * F.col("m") / float(max(1, c)) * q).otherwise(chance)
+    # log of k!, by Stirling's series where it doesn't fit into a long
+    factorial = F.when(F.col("k") <= 20, F.log(F.factorial(F.least("k", F.lit(20))).cast("double"))).otherwise(F.col("k") * F.log(F.col("k")) - F.col("k") + F.log(2 * math.pi * F.col("k")) / 2 + 1 / (12 * F.col("k")))
+    kept = shared.withColumn("tail", F.col("k") * F.log(chance + 1e-300) - factorial).where((F.col("tail") < math.log(alpha)) & ((F.col("far") < 3) | (F.col("k") > 1)))
     best = kept.groupBy("role", "word").agg(F.min(F.struct("far", (-F.col("k")).alias("k"), "better")).alias("b")).select("role", "word", F.col("b.better").alias("better"))
-    # a word that is rewritten itself hands on its own rewrite; ratio > 1 rules out circles
-    for _ in range(2):
+    # a word that is rewritten itself hands on its own rewrite; ratio > 1 rules out circles, and each hop doubles the way
+    best = stage(best, "best")
+    for _ in range(64):
         again = best.select("role", F.col("word").alias("better"), F.col("better").alias("last"))
-        best = best.join(again, ["role", "better"], "left").select("role", "word", F.coalesce("last", "better").alias("better"))
-    return best
+        best = stage(best.join(again, ["role", "better"], "left").select("role", "word", F.coalesce("last", "better").alias("better"), F.col("last").isNotNull().alias("moved")), "best")
+        if not best.where("moved").limit(1).count():
+            return best.drop("moved")
+        best = best.drop("moved")
+    raise RuntimeError("rewrites go in circles")
 
 
 def rewritten(forms: DataFrame, rewrites: DataFrame) -> DataFrame:
@@ -136,19 +166,22 @@ def _righted(forms: DataFrame, seen: int = 5) -> DataFrame:
     return out.withColumn("places", F.when(F.col("_street").isNull(), F.col("places")).otherwise(F.concat(F.array("street"), F.array_remove("places", F.col("_street"))))).withColumn("street", F.coalesce("_street", "street")).drop("_street")
 
 
-def building_keys(rows: DataFrame, localities: DataFrame, max_rounds: int = 3) -> DataFrame:
+def building_keys(rows: DataFrame, localities: DataFrame, max_rounds: int = 60) -> DataFrame:
     """``(side, id, squeezed, building)`` of ``(side, id, address)`` rows whose address names street, number and a place that is known.
 
     Addresses without a locality are placed by their town if only one of the town's localities has that street and number. Null, empty and placeholder
-    addresses, and those without street or house number, have no building. Ids need not be unique.
+    addresses, and those without street or house number, have no building. Ids need not be unique. ``RuntimeError`` if rewrites still appear after ``max_rounds``.
     """
-    parts = stage(address_parts(rows).withColumn("form", F.xxhash64("street", "number", "ward", "post", "places")), "parts")
+    read = stage(address_parts(rows), "read")
+    parts = stage(chosen_readings(read).drop("sure").withColumn("form", F.xxhash64("street", "number", "ward", "post", "places")), "parts")
     forms = stage(parts.select("form", "street", "number", "ward", "post", "places").dropDuplicates(["form"]), "forms")
     for _ in range(max_rounds):
         found = stage(mine_rewrites(forms.select("street", "number", "places")), "rewrites")
         if not found.limit(1).count():
             break
         forms = stage(rewritten(forms, found), "forms")
+    else:
+        raise RuntimeError(f"new rewrites appear after {max_rounds} rounds")
     registry = stage(registry_aliases(localities), "registry")
     placed = stage(located(_righted(forms), registry), "placed")
     sure = placed.where("place is not null").select("form", F.xxhash64("street", "number", "place").alias("building"))

@@ -201,3 +201,28 @@ def test_survivors(spark):
     trust = spark.createDataFrame([("maps", 3), ("directory", 1)], "source string, trust int")
     assert {tuple(r)[:3] for r in survivor.survivors(df, trust).collect()} == {("a", "phones", "61222222"), ("b", "phones", "61444444")}
     assert survivor.survivors(df.limit(0), trust).count() == 0
+
+
+def test_a_street_without_a_word_for_it_is_known_from_the_others(spark):
+    rows = [(i, f"Yogasel Marg {i}, Miyel, Seelot") for i in range(1, 9)] + [(i + 10, f"Varum Marg {i}, Miyel, Seelot") for i in range(1, 9)]
+    places = spark.createDataFrame(rows, "row_id long, address string")
+    evidence = spark.createDataFrame([(1, "Yogasel 3, Miyel, Seelot"), (2, "3, Yogasel, Miyel, Seelot"), (3, "Seelot-3, Miyel"), (4, "Miyel, Varum-5")], "evidence_id long, address string")
+    loc = spark.createDataFrame([(1, "miyel", ["miyel"])], "locality_id long, canonical_name string, aliases array<string>")
+    assert sorted(map(tuple, buildings.same_building(places, evidence, loc).collect())) == [(3, 1), (3, 2), (15, 4)]
+
+
+def test_abbreviations_are_mined(spark):
+    rng = random.Random(12)
+    streets = ["Yogasel", "Pradhaaphi", "Bothoval", "Kshuku", "Tuhot", "Jeprepa", "Matuba", "Risuyat", "Gibrane", "Heelana"]
+    rows = [(n, f"{s} Marg {h}, {t}") for n, (s, h, t) in enumerate((s, h, t) for s in streets for h in range(1, 15) for t in ("Miyel", "Thayim"))]
+    short = [(1000 + h, f"Prdhph Marg {h}, Miyel") for h in range(1, 7)]
+    forms = buildings.address_parts(spark.createDataFrame([*rows, *short, (2000, "Zzz Marg 3, Miyel")], "id long, address string").withColumn("side", F.lit(0).cast("byte")))
+    got = {(r.role, r.word, r.better) for r in buildings.mine_rewrites(forms.select("street", "number", "places")).collect()}
+    assert got == {("street", "prdhph", "pradhaphi")}
+
+
+def test_profiles_merge_by_typos_and_nicknames(spark):
+    listings = spark.createDataFrame([(1, "k1", "Silaamum Banohee Dental Clinic", [], [], []), (2, "k2", "Silaamun Banohee Dental Clinic", [], [], []), (3, "k3", "Sileghor Banohe Gym", [], [], []), (4, "k4", "Himalaya Dental", [], [], []), (5, "k5", "Om Shanti Kumari Cafe", [], [], [])], LISTING)
+    evidence = spark.createDataFrame([(10, "Sili Banohee Dental", None, None, "x"), (11, "Sil. Banohee Dental", None, None, "x"), (12, "Himalya Dental Clinic", None, None, "x"), (13, "Kumari Om Shanti Cafe", None, None, "x"), (14, "Om Shanti Kumary Cafe", None, None, "x")], EVIDENCE)
+    got = {tuple(r) for r in names.variant_pairs(listings, evidence).collect()}
+    assert {(1, 10), (2, 10), (4, 12), (5, 13), (5, 14)} <= got and not any(a == 3 for a, _ in got)

@@ -264,12 +264,12 @@ def resolve(ours: DataFrame, theirs: DataFrame, left_contacts: DataFrame, right_
 def _by_contacts(theirs: DataFrame, weak_owners: DataFrame, owned: DataFrame, rows: DataFrame, left_contacts: DataFrame, right_contacts: DataFrame, spellings: DataFrame, crowded: int) -> DataFrame:
     """``(ours, id, entity)`` of rows and owners without entity that a shared contact decides, if a brand word agrees and the trades don't differ."""
     # only contacts that a row without entity states are looked up
-    rest_rows = stage(theirs.join(rows, "id", "left_anti").select("id", "words", "trade").join(right_contacts, "id"), "rest_rows")
-    rest_owners = stage(weak_owners.join(owned, "owner", "left_anti").select("owner", "words", "trade").join(left_contacts, "owner"), "rest_owners")
-    asked = stage(rest_rows.select("contact").unionByName(rest_owners.select("contact")).distinct(), "asked")
+    rest_rows = theirs.join(rows, "id", "left_anti").select("id", "words", "trade").join(right_contacts, "id").select(F.lit(False).alias("ours"), "id", "words", "trade", "contact")
+    rest_owners = weak_owners.join(owned, "owner", "left_anti").select("owner", "words", "trade").join(left_contacts, "owner").select(F.lit(True).alias("ours"), F.col("owner").alias("id"), "words", "trade", "contact")
+    rest = stage(rest_rows.unionByName(rest_owners), "rest")
+    asked = rest.select("contact").distinct()
     contact = stage(left_contacts.join(asked, "contact", "left_semi").join(owned, "owner").select("contact", "entity").unionByName(right_contacts.join(asked, "contact", "left_semi").join(rows, "id").select("contact", "entity")).distinct(), "contact")
-    crowd = stage(contact.groupBy("contact").agg(F.count("*").alias("n")).where(F.col("n") > crowded).select("contact"), "crowd")
-    rest = stage(rest_rows.select(F.lit(False).alias("ours"), "id", "words", "trade", "contact").unionByName(rest_owners.select(F.lit(True).alias("ours"), F.col("owner").alias("id"), "words", "trade", "contact")), "rest")
+    crowd = contact.groupBy("contact").agg(F.count("*").alias("n")).where(F.col("n") > crowded).select("contact")
     # a spelling's words, and neighbours run together
     said_by = _split(spellings).select("entity", "trade", F.array_distinct(F.concat("long", F.transform(F.filter("two", lambda z: z["next"]), lambda z: _run_together(z["x"], z["y"])))).alias("brands"))
     few = rest.join(contact.join(crowd, "contact", "left_anti"), "contact").select("ours", "id", "contact", "words", "trade", "entity").distinct().alias("r").join(said_by.alias("p"), F.col("r.entity") == F.col("p.entity"))
@@ -278,7 +278,7 @@ def _by_contacts(theirs: DataFrame, weak_owners: DataFrame, owned: DataFrame, ro
     said = contact.join(crowd, "contact").join(said_by, "entity").select("contact", "entity", "trade", F.explode("brands").alias("y"))
     said = stage(said.select("contact", "entity", "y", F.explode(F.array_distinct(F.array("trade", F.lit("")))).alias("trade")).groupBy("contact", "y", "trade").agg(F.min("entity").alias("lo"), F.max("entity").alias("hi")), "said")
     asking = stage(rest.join(crowd, "contact").select("ours", "id", "contact", "trade", F.explode(F.array_distinct(F.filter("words", lambda w: F.length(w) > 2))).alias("w")), "asking")
-    near = stage(_near_words(asking.select("w").distinct(), said.select("y").distinct()), "near")
+    near = _near_words(asking.select("w").distinct(), said.select("y").distinct())
     heard = asking.select("contact", "w", "trade").distinct().join(near, "w").join(said, ["contact", "y", "trade"]).groupBy("contact", "w", "trade").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"))
     many = asking.join(heard, ["contact", "w", "trade"]).select("ours", "id", "contact", "lo", "hi")
     # a contact decides if it leaves one entity; contacts that decide must agree

@@ -174,3 +174,29 @@ def parse_json_rows(x: Column, schema: str) -> Column:
     body = F.regexp_extract(F.regexp_replace(x, "```(?:json)?", ""), r"(?s)(\[.*\])", 1)
     quoted = F.regexp_replace(F.regexp_replace(body, r",\s*([\]}])", "$1"), r"([{,]\s*)([A-Za-z_]\w*)\s*:", '$1"$2":')
     return F.from_json(quoted, schema, {"mode": "PERMISSIVE"})
+
+
+def brand_segment(name: Column) -> Column:
+    """What stands before the first colon, bar or dash between spaces, if that has two letters; else the name."""
+    first = F.trim(F.get(F.split(name, r"\s*[:|]\s*|\s+[-–—]\s+"), F.lit(0)))
+    return F.when(F.length(first) >= 2, first).otherwise(name)
+
+
+#: Who made a website, as pages say it: comments and author tags, then phrases before a name in capitals (fixed patterns).
+VENDOR_MARKS = (r"(?i)<!--\s*(?:powered|built|designed|developed)\s+by[^>]{0,60}-->", r"(?i)<meta\s[^>]*name=[\"']author[\"'][^>]*>")
+VENDOR_LEADS = (r"(?:[Ww]ebsite\s+)?(?:[Dd]eveloped|[Dd]esigned(?:\s+&\s+[Dd]eveloped)?)\s+by", r"\b[Bb]uilt\s+by", r"\b[Pp]owered\s+by", r"\b[Bb]uilt\s+with", r"\b[Cc]reated\s+with")
+
+
+def without_vendor(x: Column) -> Column:
+    """Text without the lines in which a site's maker signs, spaces squeezed and empty lines single; '' for null."""
+    out = F.coalesce(x, F.lit(""))
+    for mark in VENDOR_MARKS:
+        out = F.regexp_replace(out, mark, " ")
+    for lead in VENDOR_LEADS:
+        out = F.regexp_replace(out, lead + r"\s+[A-Z][A-Za-z0-9\s.&'-]{1,40}(?=\.|\n|$|<)", " ")
+    return F.trim(F.regexp_replace(F.regexp_replace(out, r"[^\S\r\n]+", " "), r"\n\s*\n", "\n\n"))
+
+
+def union_of(*arrays: Column) -> Column:
+    """The distinct non-empty values of several arrays, in order of appearance; null arrays hold none."""
+    return clean_array(F.concat(*(F.coalesce(a, F.array().cast("array<string>")) for a in arrays)))

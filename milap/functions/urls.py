@@ -16,6 +16,29 @@ SUFFIXES = (
     "com.np", "edu.np", "org.np", "gov.np", "net.np", "mil.np", "coop.np", "museum.np", "ac.np", "co.uk", "org.uk", "gov.uk", "ac.uk", "net.uk",
     "co.in", "net.in", "org.in", "gen.in", "firm.in", "ind.in", "com.au", "net.au", "org.au", "edu.au", "gov.au",
 )
+#: Networks, portals and search engines, whose pages are other people's (fixed values).
+NETWORKS = ("facebook.com", "instagram.com", "tiktok.com", "linkedin.com", "youtube.com", "twitter.com", "x.com", "pinterest.com", "reddit.com", "quora.com", "wikipedia.org", "google.com", "maps.google.com")
+#: Directories, portals and shops that list businesses (fixed values).
+DIRECTORIES = (
+    "yellowpages.com", "justdial.com", "yelp.com", "signalhire.com", "zoominfo.com", "manta.com", "crunchbase.com", "foursquare.com", "mapquest.com", "nepalyp.com", "yellowpages.com.np", "dnb.com",
+    "kompass.com", "indiamart.com", "tradeindia.com", "sulekha.com", "whitepages.com", "superpages.com", "bbb.org", "trustpilot.com", "sitejabber.com", "edusanjal.com", "collegesnepal.com", "noshnepal.com",
+    "mapcarta.com", "restaurantguru.com", "usnepal.com", "directoryofnepal.com", "wikimapia.org", "openstreetmap.org", "bhansaghar.com", "bhansaghar.com.np", "skillsewa.com", "nepalhotel.com", "yandex.ru",
+    "yandex.com", "booking.com", "agoda.com", "tripadvisor.com", "airbnb.com", "expedia.com", "trivago.com", "searchactual.com", "realestateinnepal.com", "prolinknepal.com", "hamrobazaar.com", "volza.com",
+    "collegenp.com", "suvidhasewa.com.np", "aarohnepal.org", "virtualedufairnepal.com", "play.google.com", "apps.apple.com", "merokirana.com", "nepalhomesearch.com", "bihebazaar.com", "playo.co", "cybo.com",
+    "turantcall.com", "findallnepal.com", "scorchdeal.com", "hospitalnepal.com", "nepalcompany.com", "inquirynepal.com", "esscobathware.com", "companynepal.com", "nepalbusinessdirectory.com", "biznepal.com",
+    "ghargharsewa.com", "gamatrain.com", "getyourguide.com", "afnobazar.com.np", "kinbechshop.com", "worldtravelserver.com", "pasaulineskeliones.lt", "bizdirenepal.com", "ypnepal.com", "mysleepwell.com",
+    "furniturehub.com.np", "eticketnepal.com", "yopoho.com", "ticketing.com.np", "nepalticket.com", "khabarhub.com", "hamropatro.com", "onlinekhabar.com", "ratopati.com", "setopati.com", "ekantipur.com", "nagariknetwork.com",
+)
+#: Hosts of documents and of sites under trial (fixed values).
+DOCUMENTS = ("slideshare.net", "scribd.com", "docs.google.com", "prezi.com", "issuu.com", "coursehero.com", "studocu.com", "slideserve.com", "speakerdeck.com")
+STAGING = ("vercel.app", "netlify.app", "github.io", "pages.dev", "webflow.io", "render.com", "railway.app", "herokuapp.com", "surge.sh", "glitch.me", "firebaseapp.com", "web.app")
+#: Domains that give businesses a host of their own below them (fixed values).
+HOSTERS = (
+    "localo.site", "wordpress.com", "blogspot.com", "business.site", "wixsite.com", "weebly.com", "site123.me", "godaddysites.com", "jimdofree.com", "hubspotpagebuilder.com", "webador.com", "mystrikingly.com",
+    "yolasite.com", "yellowpages.com.np", "biznepal.com", "nepalyp.com",
+)
+#: All hosts that are nobody's own, each once.
+SHARED = tuple(dict.fromkeys(NETWORKS + DIRECTORIES + DOCUMENTS + STAGING))
 #: Top-level domains by how official they look (fixed values).
 TLD_BEST, TLD_GOOD, TLD_GENERIC = (r"\.(edu\.np|gov\.np|ac\.np|edu)$", r"\.(com\.np|org\.np|net\.np|mil\.np)$", r"\.(com|org|net|io|co)$")
 #: Paths by what they say of a page (fixed patterns).
@@ -145,3 +168,13 @@ def internal_urls(base: Column, links: Column) -> Column:
         return pd.Series([one(x, y) for x, y in zip(b, ls, strict=True)])
 
     return resolve(base, links)
+
+
+def map_url(x: Column) -> Column:
+    """Does a URL lead to a place on a map."""
+    return F.coalesce(x.startswith("google_maps:") | F.contains(x, F.lit("google.com/maps")) | F.contains(x, F.lit("maps.google.com")) | F.contains(x, F.lit("maps.app.goo.gl")), F.lit(False))
+
+
+def issued_subdomain(host: Column) -> Column:
+    """Is it a host that a directory or site builder gave out, below one of its domains."""
+    return F.coalesce(root_domain(host).isin(*HOSTERS) & (root_domain(host) != host) & ~host.startswith("www."), F.lit(False))

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from milap.functions import contacts, phones, text, urls
-from milap.operators.matching import SHARED_HOSTS
+from milap.operators.matching import SHARED_HOSTS, directories
 from milap.operators.slabs import haversine_km
 from milap.session import stage
 
@@ -33,14 +33,48 @@ def contacts_said(listings: DataFrame, shared: tuple[str, ...] = SHARED_HOSTS) -
     )
 
 
+def without_directories(said: DataFrame) -> DataFrame:
+    """``contacts_said`` with the hosts left out that the listings themselves show to be directories'."""
+    said = stage(said, "said")
+    each = said.select("listing_index", F.col("name_key").alias("name"), F.explode("hosts").alias("host"))
+    bad = each.join(directories(each.select("host", "name")), "host").groupBy("listing_index").agg(F.collect_set("host").alias("_bad"))
+    out = said.join(bad, "listing_index", "left").withColumn("hosts", F.when(F.col("_bad").isNull(), F.col("hosts")).otherwise(F.array_except("hosts", "_bad")))
+    return out.select(*said.columns)
+
+
+def run_conflicts(listings: DataFrame, near_km: float = 0.5) -> DataFrame:
+    """``(run_id, a, b, type, confidence)`` of the listings of one run that share a contact or lie within ``near_km``, ``a < b``.
+
+    Candidates meet on the run with a value, or with a cell of the map and its neighbours. Null runs have no conflicts; listing indices are unique.
+    """
+    rows = stage(contacts_said(listings).join(listings.where("run_id is not null").select("listing_index", "run_id"), "listing_index"), "said")
+    marked = lambda c: F.transform(c, lambda v: F.concat(F.lit(c[0]), v))
+    value = rows.select("run_id", "listing_index", F.explode(F.concat(*map(marked, ("phones", "emails", "hosts", "socials")))).alias("v"))
+    shared = value.select("run_id", "v", F.col("listing_index").alias("a")).join(value.select("run_id", "v", F.col("listing_index").alias("b")), ["run_id", "v"]).where("a < b").select("a", "b")
+    # a degree of longitude shrinks towards the poles, so cells are as wide as their row of latitude needs
+    deg = near_km / 111.0
+    row = F.floor(F.col("lat") / deg).cast("long")
+    col = lambda r: F.floor(F.col("lng") / (deg / F.greatest(F.cos(F.radians((F.abs(r) + 2) * deg)), F.lit(0.01)))).cast("long")
+    at = rows.where("lat is not null and lng is not null and not isnan(lat) and not isnan(lng)").select("run_id", "listing_index", "lat", "lng", row.alias("r"))
+    here = at.select("run_id", F.col("listing_index").alias("a"), "r", col(F.col("r")).alias("c"))
+    around = at.select("run_id", F.col("listing_index").alias("b"), "lng", F.explode(F.sequence(F.col("r") - 1, F.col("r") + 1)).alias("r"))
+    around = around.withColumn("c0", col(F.col("r"))).select("run_id", "b", "r", F.explode(F.sequence(F.col("c0") - 1, F.col("c0") + 1)).alias("c"))
+    near = here.join(around, ["run_id", "r", "c"]).where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    met = shared.unionByName(near).distinct()
+    x, y = (rows.select(*(F.col(c).alias(f"{p}_{c}" if c != "listing_index" else p) for c in rows.columns)) for p in ("a", "b"))
+    both = met.join(x, "a").join(y, "b")
+    verdict = score_conflict(*(F.array_intersect(f"a_{c}", f"b_{c}") for c in ("phones", "emails", "hosts", "socials")), haversine_km(F.col("a_lat"), F.col("a_lng"), F.col("b_lat"), F.col("b_lng")), text.token_jaccard(F.col("a_name_key"), F.col("b_name_key")))
+    return both.select(F.col("a_run_id").alias("run_id"), "a", "b", verdict.alias("v")).where("v.type is not null").select("run_id", "a", "b", "v.type", "v.confidence")
+
+
 def contact_view(listings: DataFrame, shared: tuple[str, ...] = SHARED_HOSTS) -> DataFrame:
     """One row for each class of listings that say the same: ``(rep, copies, name_key, phones, emails, hosts, socials, lat, lng)``; ``rep`` is the class's smallest index."""
-    return contacts_said(listings, shared).groupBy(*SAID).agg(F.min("listing_index").alias("rep"), F.count("*").alias("copies"))
+    return without_directories(contacts_said(listings, shared)).groupBy(*SAID).agg(F.min("listing_index").alias("rep"), F.count("*").alias("copies"))
 
 
 def conflict_kinds(listings: DataFrame) -> DataFrame:
     """``(listing_index, type)``: the kinds of conflict of each listing, with those of its own class too."""
-    own = stage(contacts_said(listings).withColumn("rep", F.min("listing_index").over(Window.partitionBy(*SAID))), "said")
+    own = stage(without_directories(contacts_said(listings)).withColumn("rep", F.min("listing_index").over(Window.partitionBy(*SAID))), "said")
     view = stage(own.groupBy("rep", *SAID).agg(F.count("*").alias("copies")), "view")
     pairs = conflict_pairs(view).select("type", F.explode(F.array("a", "b")).alias("rep"))
     same = view.where("copies > 1").select(score_conflict(F.col("phones"), F.col("emails"), F.col("hosts"), F.col("socials"), F.when(F.col("lat").isNotNull() & F.col("lng").isNotNull(), 0.0), F.lit(1.0))["type"].alias("type"), "rep").where("type is not null")

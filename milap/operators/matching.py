@@ -7,9 +7,28 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from milap.functions import phones, text, urls
+from milap.session import stage
 
-#: Hosts that belong to networks, directories and maps and identify nobody; further ones are passed in (fixed values).
-SHARED_HOSTS = ("facebook.com", "instagram.com", "tiktok.com", "linkedin.com", "youtube.com", "twitter.com", "x.com", "google.com", "maps.google.com", "bazarpana.example", "facebook.example", "tiktok.example", "instagram.example")
+#: Hosts that belong to networks, directories and maps and identify nobody. Others are found in the data, by ``directories``.
+SHARED_HOSTS = urls.SHARED
+
+
+def directories(rows: DataFrame, least: int = 5) -> DataFrame:
+    """``(host)`` of hosts in ``(host, name)`` rows that are nobody's own: with ``least`` named rows or more, of which no word of four letters or more is in half of the names.
+
+    ``name`` is a key. Rows without a host or a name say nothing.
+    """
+    named = rows.where("host <> '' and name <> ''").select("host", F.array_except(text.tokens(F.col("name"), 4), F.array(*map(F.lit, text.GENERIC))).alias("words"))
+    total = named.groupBy("host").agg(F.count("*").alias("n")).where(F.col("n") >= least)
+    most = named.select("host", F.explode("words").alias("w")).groupBy("host", "w").agg(F.count("*").alias("k")).groupBy("host").agg(F.max("k").alias("k"))
+    return total.join(most, "host", "left").where(F.coalesce("k", F.lit(0)) * 2 < F.col("n")).select("host")
+
+
+def own_hosts(a: DataFrame, b: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The two evidence views, with the hosts that both together show to be directories' left out."""
+    shared = stage(directories(a.select("host", "name").unionByName(b.select("host", "name"))), "directories").withColumn("_shared", F.lit(True))
+    clear = lambda df: df.join(shared, "host", "left").withColumn("host", F.when(F.col("_shared"), "").otherwise(F.col("host"))).select(*df.columns)
+    return clear(a), clear(b)
 
 
 def evidence_view(df: DataFrame, id_col: str, name: str, phone: str, site: str, address: str, shared: tuple[str, ...] = SHARED_HOSTS) -> DataFrame:
@@ -25,15 +44,22 @@ def pair_cascade(a: DataFrame, b: DataFrame) -> DataFrame:
     """``(a_id, b_id, method, confidence)`` of the pairs of two evidence views that match.
 
     Equal phones or hosts match (1.0). Otherwise, unless both have a phone or both a host and these differ, names with a Jaccard similarity of 0.85 and addresses of 0.5 match (0.85), and names of
-    0.95 do (0.9). Candidates share a phone, a host or the name's first two words in order of the alphabet; names of 0.85 share all but a few of their words, so a pair of
-    rare words is blocked on each of the three smallest words with the next.
+    0.95 do (0.9). Candidates share a phone, a host, or one of the rarest words of both names: as many of them as names of 0.85 cannot all miss, so no pair is lost.
     """
-    def keys(df: DataFrame) -> DataFrame:
-        words = F.slice(F.array_sort(text.tokens(F.col("name"))), 1, 4)
-        pair = F.transform(F.sequence(F.lit(1), F.greatest(F.size(words) - 1, F.lit(1))), lambda i: F.concat_ws(" ", F.slice(words, i, F.lit(2))))
-        return df.select("id", F.explode(F.concat(F.array(F.concat(F.lit("p"), F.nullif("phone", F.lit(""))), F.concat(F.lit("h"), F.nullif("host", F.lit("")))), F.when(F.size(words) > 0, F.transform(pair, lambda w: F.concat(F.lit("n"), w))).otherwise(F.array().cast("array<string>")))).alias("key")).where("key is not null")
-
-    met = keys(a).select(F.col("id").alias("a_id"), "key").join(keys(b).select(F.col("id").alias("b_id"), "key"), "key").select("a_id", "b_id").distinct()
+    def contacts(df: DataFrame) -> DataFrame:
+        return df.select("id", F.explode(F.array(F.concat(F.lit("p"), F.nullif("phone", F.lit(""))), F.concat(F.lit("h"), F.nullif("host", F.lit(""))))).alias("key")).where("key is not null")
+
+    def words(df: DataFrame) -> DataFrame:
+        return df.select("id", F.xxhash64("name").alias("v"), F.explode(text.tokens(F.col("name"))).alias("w"), F.size(text.tokens(F.col("name"))).alias("n"))
+
+    # a name's words from rare to frequent; names that reach 0.85 share one of the first n - ceil(0.85 n) + 1, whatever the order is
+    wa, wb = stage(words(a), "words_a"), stage(words(b), "words_b")
+    often = stage(wa.select("w").unionByName(wb.select("w")).groupBy("w").agg(F.count("*").alias("f")), "often")
+    rare = Window.partitionBy("id", "v").orderBy("f", "w")
+    prefix = lambda df: df.join(often, "w").withColumn("k", F.row_number().over(rare)).where(F.col("k") <= F.col("n") - F.ceil(F.col("n") * 0.85 - 1e-9) + 1).select("id", F.concat(F.lit("n"), "w").alias("key"), "n")
+    by_name = prefix(wa).select(F.col("id").alias("a_id"), "key", F.col("n").alias("na")).join(prefix(wb).select(F.col("id").alias("b_id"), "key", F.col("n").alias("nb")), "key").where((F.col("na") >= 0.85 * F.col("nb") - 1e-9) & (F.col("nb") >= 0.85 * F.col("na") - 1e-9)).select("a_id", "b_id")
+    by_contact = contacts(a).select(F.col("id").alias("a_id"), "key").join(contacts(b).select(F.col("id").alias("b_id"), "key"), "key").select("a_id", "b_id")
+    met = by_contact.unionByName(by_name).distinct()
     x = a.select(*(F.col(c).alias(f"a_{c}") for c in a.columns))
     y = b.select(*(F.col(c).alias(f"b_{c}") for c in b.columns))
     pairs = met.join(x, "a_id").join(y, "b_id")

@@ -9,7 +9,7 @@ from milap.functions import contacts, phones, social, text, urls
 from milap.operators import gates, geography, graph, matching, ranking, scoring
 from milap.plans import pipeline
 from milap.operators.slabs import haversine_km
-from milap.session import table
+from milap.session import stage, table
 from milap.sources import cache, store
 from milap.streaming import edges
 
@@ -251,19 +251,24 @@ def phones_in_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @_query(
-    rf"""WITH t AS (SELECT doc_id, regexp_replace(regexp_replace(coalesce(text, ''), '(?i)\s*[\[(]at[\])]\s*', '@', 'g'), '(?i)\s*[\[(]dot[\])]\s*', '.', 'g') AS t FROM documents),
+    rf"""WITH t AS (SELECT doc_id, regexp_replace(regexp_replace(coalesce(text, ''), '(?i)\s*[\[(]at[\])]\s*', '@', 'g'), '(?i)\s*[\[(]dot[\])]\s*', '.', 'g') AS t FROM (SELECT doc_id, text FROM documents UNION ALL SELECT listing_index + 1000000000, array_to_string(emails, ' ; ') FROM listings)),
       f AS (SELECT doc_id, list_sort(list_distinct(list_filter(list_transform(regexp_extract_all(t, '{contacts.EMAIL_TEXT}'), lambda e: lower(regexp_replace(e, '^[.%+-]+|[.-]+$', '', 'g'))),
         lambda e: regexp_matches(e, '{contacts._EMAIL}') AND NOT regexp_matches(e, '{contacts.PLACEHOLDER}')))) AS emails FROM t)
       SELECT doc_id, emails FROM f WHERE len(emails) > 0"""
 )
 def emails_in_text(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """E-mails of page texts."""
-    return table(spark, sf_dir, "documents").select("doc_id", F.array_sort(contacts.emails(F.col("text"))).alias("emails")).where("size(emails) > 0")
+    """E-mails of page texts, and of the lists that listings hold, read as texts."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text").unionByName(table(spark, sf_dir, "listings").select((F.col("listing_index") + 1000000000).alias("doc_id"), F.array_join("emails", " ; ").alias("text")))
+    return docs.select("doc_id", F.array_sort(contacts.emails(F.col("text"))).alias("emails")).where("size(emails) > 0")
 
 
 _ROLES = ", ".join(f"'{r}'" for r in contacts.ROLE_INBOXES)
 
 
+def s_identifying(e: str) -> str:
+    return f"({e} LIKE '%@%' AND lower(trim(split_part({e}, '@', 1))) NOT IN ({_ROLES}))"
+
+
 @_query(
     f"""WITH e AS (SELECT DISTINCT listing_index, lower(trim(unnest(emails))) AS e FROM listings)
       SELECT listing_index, e AS email, (e LIKE '%@%' AND trim(split_part(e, '@', 1)) NOT IN ({_ROLES})) AS identifying FROM e"""
@@ -442,26 +447,75 @@ def _s_view(t: str, id_: str, name: str, phone: str, site: str) -> str:
     return _VIEW.format(table=t, id=id_, d=f"({s_match_digits(phone)})", t=s_third(f"({h})"), h=h, n=s_name_key(name), a=s_address_key("address"))
 
 
+_VIEWS = f"""v AS ({_s_view('places', 'row_id', 'title', 'phone_number', 'website')}), w AS (SELECT DISTINCT * FROM ({_s_view('evidence', 'evidence_id', 'name', 'phone', 'domain')})),
+      named AS (SELECT host, list_filter(list_distinct({s_tokens('name', 4)}), lambda t: NOT list_contains([{', '.join(repr(g) for g in text.GENERIC)}], t)) AS words FROM (SELECT host, name FROM v UNION ALL SELECT host, name FROM w) WHERE host <> '' AND name <> ''),
+      often AS (SELECT host, max(k) AS k FROM (SELECT host, t, count(*) AS k FROM (SELECT host, unnest(words) AS t FROM named) GROUP BY host, t) GROUP BY host),
+      shared AS (SELECT host FROM (SELECT host, count(*) AS n FROM named GROUP BY host HAVING count(*) >= 5) LEFT JOIN often USING (host) WHERE coalesce(k, 0) * 2 < n),
+      a AS (SELECT id, phone, CASE WHEN host IN (SELECT host FROM shared) THEN '' ELSE host END AS host, name, address FROM v),
+      b AS (SELECT id, phone, CASE WHEN host IN (SELECT host FROM shared) THEN '' ELSE host END AS host, name, address FROM w)"""
+
+
+def _evidence_views(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    a = matching.evidence_view(table(spark, sf_dir, "places"), "row_id", "title", "phone_number", "website", "address")
+    b = matching.evidence_view(table(spark, sf_dir, "evidence"), "evidence_id", "name", "phone", "domain", "address").distinct()
+    return matching.own_hosts(a, b)
+
+
 @_query(
-    f"""WITH a AS ({_s_view('places', 'row_id', 'title', 'phone_number', 'website')}), b AS (SELECT DISTINCT * FROM ({_s_view('evidence', 'evidence_id', 'name', 'phone', 'domain')})),
+    f"""WITH {_VIEWS},
       p AS (SELECT a.id AS a_id, b.id AS b_id FROM a JOIN b ON a.phone <> '' AND a.phone = b.phone UNION SELECT a.id, b.id FROM a JOIN b ON a.host <> '' AND a.host = b.host),
-      m AS (SELECT p.*, CASE WHEN a.phone <> '' AND a.phone = b.phone THEN 'phone' ELSE 'domain' END AS method FROM p JOIN a ON p.a_id = a.id JOIN b ON p.b_id = b.id)
+      m AS (SELECT DISTINCT p.*, CASE WHEN a.phone <> '' AND a.phone = b.phone THEN 'phone' ELSE 'domain' END AS method FROM p JOIN a ON p.a_id = a.id JOIN b ON p.b_id = b.id
+            WHERE (a.phone <> '' AND a.phone = b.phone) OR (a.host <> '' AND a.host = b.host))
       SELECT method, count(*) AS pairs, count(DISTINCT a_id) AS places, count(DISTINCT b_id) AS evidence FROM m GROUP BY method"""
 )
 def hard_match_report(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Pairs of places and evidence by equal phone or host, counted by rule."""
-    a = matching.evidence_view(table(spark, sf_dir, "places"), "row_id", "title", "phone_number", "website", "address")
-    b = matching.evidence_view(table(spark, sf_dir, "evidence"), "evidence_id", "name", "phone", "domain", "address").distinct()
-    m = matching.pair_cascade(a, b).where("method in ('phone', 'domain')")
-    return m.groupBy("method").agg(F.count("*").alias("pairs"), F.count_distinct("a_id").alias("places"), F.count_distinct("b_id").alias("evidence"))
+    """Pairs of places and evidence by equal phone or host, counted by rule.
 
+    Only keys are joined: no pair is compared again, and of a pair only its ids are kept.
+    """
+    a, b = _evidence_views(spark, sf_dir)
+    on = lambda df, c, i: df.where(F.col(c) != "").select(F.col("id").alias(i), c).distinct()
+    met = lambda c: on(a, c, "a_id").join(on(b, c, "b_id"), c).select("a_id", "b_id")
+    m = met("phone").withColumn("rule", F.lit(0)).unionByName(met("host").withColumn("rule", F.lit(1))).groupBy("a_id", "b_id").agg(F.min("rule").alias("rule"))
+    return m.groupBy(F.when(F.col("rule") == 0, "phone").otherwise("domain").alias("method")).agg(F.count("*").alias("pairs"), F.count_distinct("a_id").alias("places"), F.count_distinct("b_id").alias("evidence"))
 
-@_query()
+
+@_query(
+    f"""WITH {_VIEWS},
+      wa AS (SELECT id, name, unnest(list_distinct({s_tokens('name')})) AS w FROM a), wb AS (SELECT id, name, unnest(list_distinct({s_tokens('name')})) AS w FROM b),
+      alike AS (SELECT x.id AS a_id, y.id AS b_id FROM (SELECT id, w, count(*) OVER (PARTITION BY id, name) AS n FROM wa) x JOIN (SELECT id, w, count(*) OVER (PARTITION BY id, name) AS n FROM wb) y ON x.w = y.w GROUP BY x.id, y.id HAVING count(*) >= 0.85 * max(x.n) AND count(*) >= 0.85 * max(y.n)),
+      p AS (SELECT a.id AS a_id, b.id AS b_id FROM a JOIN b ON a.phone <> '' AND a.phone = b.phone UNION SELECT a.id, b.id FROM a JOIN b ON a.host <> '' AND a.host = b.host UNION SELECT a_id, b_id FROM alike),
+      m AS (SELECT p.*, CASE WHEN a.phone <> '' AND a.phone = b.phone THEN 'phone' WHEN a.host <> '' AND a.host = b.host THEN 'domain'
+              WHEN (a.phone <> '' AND b.phone <> '') OR (a.host <> '' AND b.host <> '') THEN 'none'
+              WHEN {s_jaccard('a.name', 'b.name')} >= 0.85 AND {s_jaccard('a.address', 'b.address')} >= 0.5 THEN 'name_address' WHEN {s_jaccard('a.name', 'b.name')} >= 0.95 THEN 'name' ELSE 'none' END AS method
+            FROM p JOIN a ON p.a_id = a.id JOIN b ON p.b_id = b.id)
+      SELECT a_id, b_id, method, CASE WHEN method IN ('phone', 'domain') THEN 1.0::DOUBLE WHEN method = 'name' THEN 0.9::DOUBLE ELSE 0.85::DOUBLE END AS confidence FROM m WHERE method <> 'none'"""
+)
 def entity_pair_match(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Places and evidence by the whole cascade."""
-    a = matching.evidence_view(table(spark, sf_dir, "places"), "row_id", "title", "phone_number", "website", "address")
-    b = matching.evidence_view(table(spark, sf_dir, "evidence"), "evidence_id", "name", "phone", "domain", "address").distinct()
-    return matching.pair_cascade(a, b)
+    return matching.pair_cascade(*_evidence_views(spark, sf_dir))
+
+
+_SAID_BY = f"""SELECT run_id, listing_index, {s_name_key('name')} AS name_key,
+        list_distinct(list_filter(list_transform(list_concat(phones, mobiles), lambda p: {s_match_digits('p')}), lambda d: length(d) >= 7)) AS phones,
+        list_distinct(list_filter(list_transform(emails, lambda e: lower(trim(e))), lambda e: contains(e, '@'))) AS emails,
+        list_distinct(list_filter(list_transform(websites, lambda w: {s_host_or_bare('w')}), lambda h: contains(h, '.') AND NOT {s_third('h')})) AS hosts,
+        list_distinct(list_filter(list_transform(list_concat([social_links.facebook, social_links.tiktok, social_links.instagram], coalesce(map_values(social_links.other), [])), lambda u: regexp_replace(lower(trim(u)), '/+$', '')), lambda u: u IS NOT NULL AND u <> '')) AS socials,
+        latitude AS lat, longitude AS lng FROM listings WHERE run_id IS NOT NULL"""
+
+
+@_query(
+    f"""WITH s AS ({_SAID_BY}),
+      p AS (SELECT a.run_id, a.listing_index AS a, b.listing_index AS b, len(list_intersect(a.phones, b.phones)) AS np, len(list_intersect(a.emails, b.emails)) AS ne, len(list_filter(list_intersect(a.emails, b.emails), lambda e: {s_identifying('e')})) AS nm,
+          len(list_intersect(a.hosts, b.hosts)) AS nh, len(list_intersect(a.socials, b.socials)) AS ns, {s_haversine('a.lat', 'a.lng', 'b.lat', 'b.lng')} AS km, {s_jaccard('a.name_key', 'b.name_key')} AS j
+        FROM s a JOIN s b ON a.run_id = b.run_id AND a.listing_index < b.listing_index),
+      c AS (SELECT *, least(0.99, {s_round("(CASE WHEN nm > 0 THEN 0.40 WHEN ne > 0 THEN 0.30 ELSE 0.0 END + CASE WHEN np >= 2 THEN 0.45 WHEN np = 1 THEN 0.35 ELSE 0.0 END + CASE WHEN nh > 0 THEN 0.35 ELSE 0.0 END + CASE WHEN ns >= 3 THEN 0.25 WHEN ns > 0 THEN 0.15 ELSE 0.0 END + CASE WHEN km < 0.05 THEN 0.35 WHEN km < 0.5 THEN 0.30 ELSE 0.0 END + CASE WHEN j >= 0.85 THEN 0.15 ELSE 0.0 END)::DOUBLE")}) AS confidence,
+          CASE WHEN km < 0.05 AND np > 0 AND nh > 0 THEN 'DUPLICATE_MAPS_LISTING' WHEN np > 0 OR nm > 0 THEN 'POSSIBLY_SAME_ENTITY' WHEN nh > 0 OR ns > 0 THEN 'RELATED_BRAND' WHEN ne > 0 OR km < 0.5 THEN 'SHARED_OFFICE' END AS type FROM p)
+      SELECT run_id, a, b, type, confidence FROM c WHERE type IS NOT NULL AND confidence >= 0.30"""
+)
+def run_conflicts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Conflicts between the listings of one run, by what they share and by nearness."""
+    return graph.run_conflicts(table(spark, sf_dir, "listings"))
 
 
 @_query()
@@ -655,12 +709,21 @@ def quality_cap(spark: SparkSession, sf_dir: str) -> DataFrame:
       SELECT site, doc_id, u, row_number() OVER (PARTITION BY site ORDER BY doc_id) AS rank FROM f WHERE rn = 1"""
 )
 def url_dedupe_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The first page of each URL, ranked anew within its site."""
+    """The first page of each URL, ranked anew within its site.
+
+    Pages are counted by stretches of ids first, so the pages of a large site are never sorted in one task.
+    """
     from pyspark.sql import Window
 
     n = table(spark, sf_dir, "documents").where("url is not null").select("doc_id", "site", urls.normalize_url(F.col("url")).alias("u"))
-    f = n.groupBy("u").agg(F.min_by(F.struct("doc_id", "site"), "doc_id").alias("d")).select("d.site", "d.doc_id", "u")
-    return f.withColumn("rank", F.row_number().over(Window.partitionBy("site").orderBy("doc_id")).cast("long"))
+    f = stage(n.groupBy("u").agg(F.min_by(F.struct("doc_id", "site"), "doc_id").alias("d")).select("d.site", "d.doc_id", "u"), "firsts")
+    lo, hi = f.agg(F.min("doc_id"), F.max("doc_id")).first()
+    stretch = F.floor((F.col("doc_id") - (lo or 0)) / max(1, ((hi or 0) - (lo or 0)) // 256 + 1)).cast("int")
+    f = f.withColumn("stretch", stretch)
+    sums = f.groupBy("site", "stretch").agg(F.count("*").alias("n"))
+    before = sums.withColumn("before", F.sum("n").over(Window.partitionBy("site").orderBy("stretch")) - F.col("n")).drop("n").withColumnRenamed("site", "s").withColumnRenamed("stretch", "k")
+    ranked = f.join(before, F.col("site").eqNullSafe(F.col("s")) & (F.col("stretch") == F.col("k")))
+    return ranked.select("site", "doc_id", "u", (F.col("before") + F.row_number().over(Window.partitionBy("site", "stretch").orderBy("doc_id"))).cast("long").alias("rank"))
 
 
 @_query(

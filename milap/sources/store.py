@@ -30,11 +30,19 @@ def fresh_days(query: Column) -> Column:
 
 
 def newest_fresh(runs: DataFrame, asked: DataFrame) -> DataFrame:
-    """For each ``(query_key, locality_key, at)`` of ``asked``, the newest servable run before ``at`` and within the query's days; one row each, run columns null if none."""
-    r = runs.where(F.col("status").isin(*SERVABLE)).select("query_key", "locality_key", "run_id", "completed_at", "listing_count")
-    met = asked.distinct().join(r, ["query_key", "locality_key"]).where((F.col("completed_at") < F.col("at")) & (F.unix_timestamp(F.col("completed_at").cast("timestamp")) > F.unix_timestamp(F.col("at").cast("timestamp")) - fresh_days(F.col("query_key")) * 86400))
-    best = met.groupBy("query_key", "locality_key", "at").agg(F.max(F.struct("completed_at", "run_id", "listing_count")).alias("b")).select("query_key", "locality_key", "at", "b.*")
-    return asked.distinct().join(best, ["query_key", "locality_key", "at"], "left")
+    """For each ``(query_key, locality_key, at)`` of ``asked``, the newest servable run before ``at`` and within the query's days; one row each, run columns null if none. Null keys match nothing.
+
+    Runs and questions of one query and locality are walked once in order of time, so a locality asked for very often is no product of runs and questions. If the newest run before is too old, all are.
+    """
+    asked = asked.distinct()
+    r = runs.where(F.col("status").isin(*SERVABLE) & F.col("completed_at").isNotNull()).select("query_key", "locality_key", F.col("completed_at").alias("t"), F.struct("completed_at", "run_id", "listing_count").alias("run"))
+    q = asked.select("query_key", "locality_key", F.col("at").alias("t"), F.lit(None).cast(r.schema["run"].dataType).alias("run"))
+    # at one time the question comes before the runs, and of runs the one with the larger id last
+    before = Window.partitionBy("query_key", "locality_key").orderBy(F.col("t"), F.col("run").isNotNull(), F.col("run.run_id")).rowsBetween(Window.unboundedPreceding, -1)
+    walked = q.unionByName(r).withColumn("b", F.last("run", ignorenulls=True).over(before)).where("run is null")
+    young = F.unix_timestamp(F.col("b.completed_at").cast("timestamp")) > F.unix_timestamp(F.col("t").cast("timestamp")) - fresh_days(F.col("query_key")) * 86400
+    known = F.col("query_key").isNotNull() & F.col("locality_key").isNotNull()
+    return walked.withColumn("b", F.when(young & known, F.col("b"))).select("query_key", "locality_key", F.col("t").alias("at"), F.col("b.completed_at").alias("completed_at"), F.col("b.run_id").alias("run_id"), F.col("b.listing_count").alias("listing_count"))
 
 
 def accumulate(batch: DataFrame) -> DataFrame:
@@ -82,3 +90,14 @@ def status(spark, path: str) -> str:
         return "connected" if spark.read.parquet(path).limit(1).count() else "empty"
     except Exception:  # noqa: BLE001
         return "unreachable"
+
+
+def write_summary(spark, summary: dict, root: str, run_id: str) -> None:
+    """One row of JSON for a run's summary, under ``latest`` and under the run's history; ``timestamp`` says when it was written unless the summary has one."""
+    import datetime
+    import json
+
+    row = {**summary, "timestamp": summary.get("timestamp") or datetime.datetime.now(datetime.timezone.utc).isoformat(timespec="milliseconds").replace("+00:00", "Z")}
+    out = spark.createDataFrame([(json.dumps(row, default=str, ensure_ascii=False),)], "value string")
+    for folder in ("latest", f"history/{run_id}"):
+        out.coalesce(1).write.mode("overwrite").text(f"{root}/{folder}/summary-report")

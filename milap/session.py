@@ -63,5 +63,9 @@ def release(*staged: DataFrame) -> None:
             at = df.sparkSession._jvm.org.apache.hadoop.fs.Path(path)
             at.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(at, True)
     if staged:
-        # shuffle files go when the driver collects the plans that made them
-        staged[0].sparkSession._jvm.System.gc()
+        tidy(staged[0])
+
+
+def tidy(df: DataFrame) -> None:
+    """Let the cleaner remove the shuffle files of plans that are done: they go when the driver collects these."""
+    df.sparkSession._jvm.System.gc()

@@ -94,14 +94,14 @@ def typo_keys(full: DataFrame, to: str = "entity") -> DataFrame:
 def nick_keys(z: Column, trade: Column, long: bool) -> Column:
     """Keys of a word beside another that stays: as a nickname, which is the beginning of a word and another vowel, or as a word that a nickname of three to six letters and a vowel may stand for."""
     if not long:
-        return F.when(F.length(z["x"]) >= 4, F.array(_key("nick", F.substring(z["x"], F.lit(1), F.length(z["x"]) - 1), z["y"], trade))).otherwise(F.array().cast("array<long>"))
+        return F.when((F.length(z["x"]) >= 4) & z["x"].rlike("[aeiou]$"), F.array(_key("nick", F.substring(z["x"], F.lit(1), F.length(z["x"]) - 1), z["y"], trade))).otherwise(F.array().cast("array<long>"))
     ends = F.filter(F.array(*map(F.lit, (3, 4, 5, 6))), lambda n: n <= F.length(z["x"]) - 2)
     return F.transform(ends, lambda n: _key("nick", F.substring(z["x"], F.lit(1), n), z["y"], trade))
 
 
 def is_nick(x: Column, y: Column) -> Column:
     """Is one of the two words a nickname of the other."""
-    one = lambda a, b: (F.length(a) >= 4) & (F.length(b) > F.length(a)) & F.startswith(b, F.substring(a, F.lit(1), F.length(a) - 1))
+    one = lambda a, b: (F.length(a) >= 4) & a.rlike("[aeiou]$") & (F.length(b) > F.length(a)) & F.startswith(b, F.substring(a, F.lit(1), F.length(a) - 1))
     return one(x, y) | one(y, x)
 
 
@@ -199,6 +199,7 @@ def resolve(ours: DataFrame, theirs: DataFrame, left_contacts: DataFrame, right_
     ``(id, contact)``, phones and hosts as strings. A contact of more than ``crowded`` entities is asked by near words, which changes the plan and not the result. Rows whose name means nothing, and rows that nothing decides, are in no result. Repeated rows don't matter.
     ``RuntimeError`` if names still merge after ``max_rounds``.
     """
+    left_contacts, right_contacts = stage(left_contacts, "left_contacts"), stage(right_contacts, "right_contacts")
     form = lambda df: df.groupBy("form").agg(F.min("words").alias("words"), F.min("trade").alias("trade"))
     # profiles: owners, and owners that state one and the same full form are one; full forms of the other side that no owner states are profiles too
     full_ours = ours.where(_is_full())
@@ -207,14 +208,15 @@ def resolve(ours: DataFrame, theirs: DataFrame, left_contacts: DataFrame, right_
     nodes = stage(stated.select("form", "words", "trade", "entity").unionByName(their_forms.where(_is_full()).join(stated.select("form"), "form", "left_anti").select("form", "words", "trade", F.col("form").alias("entity"))), "nodes")
     # profiles whose full forms differ by a typo merge; of those that share a key all are linked to the smallest
     keyed = typo_keys(nodes)
-    near = keyed.join(keyed.groupBy("key").agg(F.min("entity").alias("lo"), F.max("entity").alias("hi")).where("lo < hi").select("key", "lo"), "key").select(F.col("entity").alias("x"), F.col("lo").alias("y"))
+    several = stage(keyed.groupBy("key").agg(F.min("entity").alias("lo"), F.max("entity").alias("hi")).where("lo < hi").select("key", "lo"), "several")
+    near = keyed.join(several, "key").select(F.col("entity").alias("x"), F.col("lo").alias("y"))
     same = full_ours.select("form", "owner").join(stated.where("entity <> other").select("form", "entity"), "form").select(F.col("owner").alias("x"), F.col("entity").alias("y"))
     roots = _merged(same.unionByName(near))
     full = stage(_rooted(nodes, roots), "full")
     # a nickname beside an equal word joins the profile whose name it may stand for, if that is one
     two = _split(full)
-    short = two.select(F.col("entity").alias("x"), F.explode(F.flatten(F.transform("two", lambda z: nick_keys(z, F.col("trade"), False)))).alias("key"))
-    meant = two.select("entity", F.explode(F.flatten(F.transform("two", lambda z: nick_keys(z, F.col("trade"), True)))).alias("key")).groupBy("key").agg(F.min("entity").alias("y"), F.max("entity").alias("hi")).where("y = hi").select("key", "y")
+    short = stage(two.select(F.col("entity").alias("x"), F.explode(F.flatten(F.transform("two", lambda z: nick_keys(z, F.col("trade"), False)))).alias("key")), "short")
+    meant = two.select("entity", F.explode(F.flatten(F.transform("two", lambda z: nick_keys(z, F.col("trade"), True)))).alias("key")).join(short.select("key").distinct(), "key", "left_semi").groupBy("key").agg(F.min("entity").alias("y"), F.max("entity").alias("hi")).where("y = hi").select("key", "y")
     more = _merged(short.join(meant, "key").select("x", "y"))
     full = full if more is None else stage(_rooted(full, more), "full")
     named = _rooted(full_ours.select("owner").distinct().withColumn("entity", F.col("owner")), roots)
@@ -227,6 +229,8 @@ def resolve(ours: DataFrame, theirs: DataFrame, left_contacts: DataFrame, right_
     sought = stage(name_keys(left_over), "sought")
     sought, candidates, known = _blocked(sought, _met(sought, profile_keys(full)), left_over, max_rounds)
     by_form = settled if known is None else stage(settled.unionByName(known), "by_form")
+    one = news = None
+    heard_of: dict = {}
     for _ in range(max_rounds):
         rows = stage(theirs.select("id", "form").join(by_form, "form").select("id", "entity").distinct(), "rows")
         owned = stage(named.unionByName(weak_owners.select("owner", "form").join(by_form, "form").select("owner", "entity")).distinct(), "owners")
@@ -234,20 +238,29 @@ def resolve(ours: DataFrame, theirs: DataFrame, left_contacts: DataFrame, right_
         apart = owned.groupBy("owner").agg(F.min("entity").alias("lo"), F.max("entity").alias("hi")).where("lo < hi")
         roots = _merged(owned.join(apart.select("owner", "lo"), "owner").select(F.col("entity").alias("x"), F.col("lo").alias("y")))
         if roots is not None:
+            one = news = None
             named, by_form, full, rows, owned, candidates = (stage(_rooted(x, roots).distinct(), "rooted") for x in (named, by_form, full, rows, owned, candidates))
         spellings = full.select("words", "trade", "entity").unionByName(left_over.join(by_form, "form").select("words", "trade", "entity"))
-        one = _by_contacts(theirs, weak_owners, owned, rows, left_contacts, right_contacts, spellings, crowded)
+        # at first all rows without entity are asked, then those that share a contact with rows that have one now
+        asked = None if news is None else stage(right_contacts.join(theirs.select("id", "form").join(news, "form").select("id"), "id").select("contact").unionByName(left_contacts.join(weak_owners.select("owner", "form").join(news, "form").select("owner"), "owner").select("contact")).distinct(), "asked")
+        again, rest = _by_contacts(theirs, weak_owners, owned, rows, left_contacts, right_contacts, spellings, crowded, heard_of, asked)
+        if one is not None:
+            kept = one.join(rest.select("ours", "id").distinct(), ["ours", "id"], "left_anti").join(rows.select(F.lit(False).alias("ours"), "id").unionByName(owned.select(F.lit(True).alias("ours"), F.col("owner").alias("id"))), ["ours", "id"], "left_anti")
+            again = stage(kept.unionByName(again), "one")
+        one = again
         # a spelling that met no profile, or none that alone fits, is learnt if all rows that contacts decide agree; one that several profiles fit stays open
         open_forms = candidates.select("form").distinct()
         learnt = theirs.select("id", "form").join(one.where("not ours").select("id", "entity"), "id").unionByName(weak_owners.select(F.col("owner").alias("id"), "form").join(one.where("ours").select("id", "entity"), "id"))
         learnt = stage(learnt.groupBy("form").agg(F.min("entity").alias("entity"), F.max("entity").alias("hi")).where("entity = hi").join(open_forms, "form", "left_anti").select("form", "entity"), "learnt")
         if not learnt.limit(1).count():
             break
+        news = learnt.select("form")
         grown = left_over.join(learnt, "form").select("words", "trade", "entity")
         sought = stage(sought.join(learnt.select("form"), "form", "left_anti"), "sought")
         met = candidates.unionByName(_met(sought, profile_keys(grown))).groupBy("form", "entity").agg(F.min("rank").alias("rank")).select("form", "rank", "entity")
         sought, candidates, known = _blocked(sought, met, left_over, max_rounds)
         by_form = stage(by_form.unionByName(learnt) if known is None else by_form.unionByName(learnt).unionByName(known), "by_form")
+        news = news if known is None else news.unionByName(known.select("form"))
     else:
         raise RuntimeError(f"names still merge after {max_rounds} rounds")
     rows = stage(rows.unionByName(one.where("not ours").select("id", "entity")), "rows")
@@ -261,29 +274,44 @@ def resolve(ours: DataFrame, theirs: DataFrame, left_contacts: DataFrame, right_
     return owned.unionByName(rest_owners), rows.unionByName(rest_rows)
 
 
-def _by_contacts(theirs: DataFrame, weak_owners: DataFrame, owned: DataFrame, rows: DataFrame, left_contacts: DataFrame, right_contacts: DataFrame, spellings: DataFrame, crowded: int) -> DataFrame:
-    """``(ours, id, entity)`` of rows and owners without entity that a shared contact decides, if a brand word agrees and the trades don't differ."""
+def _by_contacts(theirs: DataFrame, weak_owners: DataFrame, owned: DataFrame, rows: DataFrame, left_contacts: DataFrame, right_contacts: DataFrame, spellings: DataFrame, crowded: int, heard_of: dict, touched: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """``(ours, id, entity)`` of rows and owners without entity that a shared contact decides, if a brand word agrees and the trades don't differ; and the rows that were asked.
+
+    With ``touched``, only rows that state one of these contacts are asked, by all their contacts. ``heard_of`` keeps the near words of crowds from one call to the next, which asks rows of the first only.
+    """
     # only contacts that a row without entity states are looked up
     rest_rows = theirs.join(rows, "id", "left_anti").select("id", "words", "trade").join(right_contacts, "id").select(F.lit(False).alias("ours"), "id", "words", "trade", "contact")
     rest_owners = weak_owners.join(owned, "owner", "left_anti").select("owner", "words", "trade").join(left_contacts, "owner").select(F.lit(True).alias("ours"), F.col("owner").alias("id"), "words", "trade", "contact")
     rest = stage(rest_rows.unionByName(rest_owners), "rest")
+    if touched is not None:
+        rest = stage(rest.join(rest.join(touched, "contact", "left_semi").select("ours", "id").distinct(), ["ours", "id"], "left_semi"), "rest")
     asked = rest.select("contact").distinct()
     contact = stage(left_contacts.join(asked, "contact", "left_semi").join(owned, "owner").select("contact", "entity").unionByName(right_contacts.join(asked, "contact", "left_semi").join(rows, "id").select("contact", "entity")).distinct(), "contact")
     crowd = contact.groupBy("contact").agg(F.count("*").alias("n")).where(F.col("n") > crowded).select("contact")
     # a spelling's words, and neighbours run together
-    said_by = _split(spellings).select("entity", "trade", F.array_distinct(F.concat("long", F.transform(F.filter("two", lambda z: z["next"]), lambda z: _run_together(z["x"], z["y"])))).alias("brands"))
+    met = spellings.join(contact.select("entity").distinct(), "entity", "left_semi").distinct()
+    said_by = _split(met).select("entity", "trade", F.array_distinct(F.concat("long", F.transform(F.filter("two", lambda z: z["next"]), lambda z: _run_together(z["x"], z["y"])))).alias("brands"))
+    said_by = stage(said_by, "brands")
     few = rest.join(contact.join(crowd, "contact", "left_anti"), "contact").select("ours", "id", "contact", "words", "trade", "entity").distinct().alias("r").join(said_by.alias("p"), F.col("r.entity") == F.col("p.entity"))
     few = few.where(((F.col("r.trade") == "") | (F.col("r.trade") == F.col("p.trade"))) & F.exists("r.words", lambda w: (F.length(w) > 2) & F.exists("p.brands", lambda y: _near(w, y)))).select("r.ours", "r.id", "r.contact", F.col("r.entity").alias("lo"), F.col("r.entity").alias("hi"))
     # in a crowd, words meet near words only, and of the entities that say a word the smallest and the largest tell whether it is one
     said = contact.join(crowd, "contact").join(said_by, "entity").select("contact", "entity", "trade", F.explode("brands").alias("y"))
     said = stage(said.select("contact", "entity", "y", F.explode(F.array_distinct(F.array("trade", F.lit("")))).alias("trade")).groupBy("contact", "y", "trade").agg(F.min("entity").alias("lo"), F.max("entity").alias("hi")), "said")
     asking = stage(rest.join(crowd, "contact").select("ours", "id", "contact", "trade", F.explode(F.array_distinct(F.filter("words", lambda w: F.length(w) > 2))).alias("w")), "asking")
-    near = _near_words(asking.select("w").distinct(), said.select("y").distinct())
+    # words that were compared in an earlier round are not compared again
+    words = said.select("y").distinct()
+    if "near" in heard_of:
+        words = words.join(heard_of["words"], "y", "left_anti")
+    words = stage(words, "words")
+    near = stage(_near_words(asking.select("w").distinct(), words), "near")
+    heard_of["near"], heard_of["words"] = (heard_of["near"].unionByName(near), heard_of["words"].unionByName(words)) if "near" in heard_of else (near, words)
+    near = heard_of["near"]
     heard = asking.select("contact", "w", "trade").distinct().join(near, "w").join(said, ["contact", "y", "trade"]).groupBy("contact", "w", "trade").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"))
     many = asking.join(heard, ["contact", "w", "trade"]).select("ours", "id", "contact", "lo", "hi")
     # a contact decides if it leaves one entity; contacts that decide must agree
     left_one = few.unionByName(many).groupBy("ours", "id", "contact").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi")).where("lo = hi")
-    return stage(left_one.groupBy("ours", "id").agg(F.min("lo").alias("lo"), F.max("lo").alias("hi")).where("lo = hi").select("ours", "id", F.col("lo").alias("entity")), "one")
+    one = stage(left_one.groupBy("ours", "id").agg(F.min("lo").alias("lo"), F.max("lo").alias("hi")).where("lo = hi").select("ours", "id", F.col("lo").alias("entity")), "one")
+    return one, rest
 
 
 def phone_digits(c: Column) -> Column:

@@ -112,65 +112,70 @@ class FMIndex:
 
 
 def _phrases(items: pd.DataFrame, length: int, common: float):
-    """Vocabulary, phrases, their uses (phrase, item, position), and of each item the mask of words that count.
+    """Vocabulary, phrases by length with their uses (phrase, item, position), of each item the mask of words that count, and its phrases' length.
 
-    Words in phrases of more than the share ``common`` of the items, but at least three, don't count: instructions and stock phrases.
+    Items of fewer words than ``length`` are one phrase each. Words in phrases of more than the share ``common`` of the different items, but at least three, don't count: instructions and stock phrases. An
+    item that is made of such only counts whole.
     """
     vocabulary: dict[str, int] = {}
-    codes, item, at, sizes = [], [], [], []
-    for k, t in enumerate(items.text):
-        w = [vocabulary.setdefault(x, len(vocabulary)) for x in words(t)]
-        sizes.append(len(w))
-        for j in range(len(w) - length + 1):
-            codes.append(w[j : j + length])
-            item.append(k)
-            at.append(j)
-    phrases, use = np.unique(np.array(codes, np.int64).reshape(-1, length), axis=0, return_inverse=True)
-    use, item, at = use.ravel(), np.array(item, np.int64), np.array(at, np.int64)
-    spread = pd.DataFrame({"p": use, "i": item}).drop_duplicates().groupby("p").size().reindex(range(len(phrases)), fill_value=0).to_numpy()
-    stock = spread >= max(3, common * len(items))
-    counts = [np.ones(n, bool) for n in sizes]
-    for p, i, a in zip(use, item, at, strict=True):
-        if stock[p]:
-            counts[i][a : a + length] = False
-    keep = ~stock[use] if len(use) else np.zeros(0, bool)
-    return list(vocabulary), phrases, use[keep], item[keep], at[keep], counts
-
-
-def _shard_hits(docs: list, texts: list[list[str]], starts: list[int], plan, length: int, least: float) -> pd.DataFrame:
-    vocabulary, phrases, use, item, at, counts = plan
-    if not len(use):
-        return pd.DataFrame()
+    coded = [[vocabulary.setdefault(x, len(vocabulary)) for x in words(t)] for t in items.text]
+    kinds = {tuple(w): k for k, w in enumerate(coded)}
+    sizes = np.array([min(length, len(w)) for w in coded], np.int64)
+    counts = [np.ones(len(w), bool) for w in coded]
+    groups = []
+    for size in sorted({*sizes.tolist()} - {0}):
+        mine = [k for k in range(len(coded)) if sizes[k] == size]
+        codes = np.array([coded[k][j : j + size] for k in mine for j in range(len(coded[k]) - size + 1)], np.int64).reshape(-1, size)
+        item = np.array([k for k in mine for _ in range(len(coded[k]) - size + 1)], np.int64)
+        at = np.array([j for k in mine for j in range(len(coded[k]) - size + 1)], np.int64)
+        phrases, use = np.unique(codes, axis=0, return_inverse=True)
+        use = use.ravel()
+        spread = pd.DataFrame({"p": use, "i": [kinds[tuple(coded[k])] for k in item]}).drop_duplicates().groupby("p").size().reindex(range(len(phrases)), fill_value=0).to_numpy()
+        stock = spread >= max(3, common * len(kinds))
+        for p, i, a in zip(use, item, at, strict=True):
+            if stock[p]:
+                counts[i][a : a + size] = False
+        whole = np.array([not counts[i].any() for i in range(len(coded))])
+        for i in mine:
+            if whole[i]:
+                counts[i][:] = True
+        keep = ~stock[use] | whole[item]
+        groups.append((phrases, use[keep], item[keep], at[keep]))
+    return list(vocabulary), groups, counts, sizes
+
+
+def _shard_hits(docs: list, texts: list[list[str]], starts: list[int], plan, least: float) -> pd.DataFrame:
+    vocabulary, groups, counts, lengths = plan
     sizes = np.array([c.sum() for c in counts])
     code, names = pd.factorize(np.array([w for t in texts for w in (*t, "")], dtype=object))
     number = {w: k + 1 for k, w in enumerate(names)}
-    index = FMIndex(code + 1)
-    lo, hi = index.search(np.array([number.get(w, -1) for w in vocabulary], np.int64)[phrases])
-    found = hi - lo
-    uses = np.flatnonzero(found[use] > 0)
-    if not len(uses):
-        return pd.DataFrame()
-    live = np.unique(use[uses])
-    first = np.zeros(len(found), np.int64)
-    first[live] = np.cumsum(found[live]) - found[live]
-    where = index.locate(np.repeat(lo[live] - first[live], found[live]) + np.arange(found[live].sum()))
-    # each use of a phrase in an item, at each place in the shard
-    n = found[use[uses]]
-    u = np.repeat(uses, n)
-    place = where[np.repeat(first[use[uses]], n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)]
+    index, known = FMIndex(code + 1), np.array([number.get(w, -1) for w in vocabulary], np.int64)
     begin = np.cumsum([0, *(len(t) + 1 for t in texts)])
-    d = np.searchsorted(begin, place, "right") - 1
-    group = d * len(counts) + item[u]
-    order = np.argsort(group, kind="stable")
-    group, at_, pos = group[order], at[u][order], (place - begin[d])[order]
-    cuts = np.flatnonzero(np.concatenate([[True], group[1:] != group[:-1], [True]]))
     out = []
-    for a, b in zip(cuts[:-1], cuts[1:], strict=True):
-        k, i = divmod(int(group[a]), len(counts))
-        # too few phrases to reach the least share, even if none overlap
-        if sizes[i] == 0 or (b - a) * length < least * sizes[i]:
+    for phrases, use, item, at in groups:
+        lo, hi = index.search(known[phrases])
+        found = hi - lo
+        uses = np.flatnonzero(found[use] > 0)
+        if not len(uses):
             continue
-        out += ((docs[k], i, n_, sizes[i], starts[k] + x, starts[k] + y) for n_, x, y in _covers(at_[a:b], pos[a:b], length, counts[i], least * sizes[i]))
+        live = np.unique(use[uses])
+        first = np.zeros(len(found), np.int64)
+        first[live] = np.cumsum(found[live]) - found[live]
+        where = index.locate(np.repeat(lo[live] - first[live], found[live]) + np.arange(found[live].sum()))
+        # each use of a phrase in an item, at each place in the shard
+        n = found[use[uses]]
+        u = np.repeat(uses, n)
+        place = where[np.repeat(first[use[uses]], n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)]
+        d = np.searchsorted(begin, place, "right") - 1
+        group = d * len(counts) + item[u]
+        order = np.argsort(group, kind="stable")
+        group, at_, pos = group[order], at[u][order], (place - begin[d])[order]
+        cuts = np.flatnonzero(np.concatenate([[True], group[1:] != group[:-1], [True]]))
+        for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+            k, i = divmod(int(group[a]), len(counts))
+            # too few phrases to reach the least share, even if none overlap
+            if (b - a) * lengths[i] >= least * sizes[i]:
+                out += ((docs[k], i, n_, sizes[i], starts[k] + x, starts[k] + y) for n_, x, y in _covers(at_[a:b], pos[a:b], int(lengths[i]), counts[i], least * sizes[i]))
     return pd.DataFrame(out, columns=["doc_id", "item", "covered", "item_words", "start_word", "end_word"])
 
 
@@ -216,21 +221,21 @@ def find_leaks(docs: DataFrame, items: DataFrame, *, doc_col: str = "doc_id", te
     Words are taken over if they lie in a phrase of ``phrase`` words that is unchanged, near the other phrases of the item and in
     its order. Words in phrases that many items share (``common``) count neither for the item's size nor as taken over.
     Items are the query side: they are read by the driver and must be at most ``max_items``, else ``ValueError``. Documents
-    are read whole; one longer than a shard is cut into parts that overlap by more than two items. Null and empty texts, and
-    items of fewer words than a phrase, match nothing. ``start_word`` and ``end_word`` bound the words to remove; spans of one document and item don't overlap.
+    are read whole; one longer than a shard is cut into parts that overlap by more than two items. Null and empty texts
+    match nothing; items of fewer words than a phrase are found where they stand as a whole. ``start_word`` and ``end_word`` bound the words to remove; spans of one document and item don't overlap.
     """
     few = items.where(F.col(item_text).isNotNull()).select(F.col(item_col).alias("item_id"), F.col(item_text).alias("text")).limit(max_items + 1).toPandas().sort_values("item_id", ignore_index=True)
     if len(few) > max_items:
         raise ValueError(f"more than {max_items} items; search them in blocks")
     plan = _phrases(few, phrase, common)
     ids = few.item_id.to_numpy()
-    overlap = 3 * max([1, *map(len, plan[-1])])
+    overlap = 3 * max([1, *map(len, plan[2])])
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         docs_, texts, starts, held = [], [], [], 0
 
         def flush():
-            h = _shard_hits(docs_, texts, starts, plan, phrase, least)
+            h = _shard_hits(docs_, texts, starts, plan, least)
             if len(h):
                 i = h.item.to_numpy()
                 yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (h.doc_id, ids[i], h.covered, h.item_words, h.start_word, h.end_word)], ["doc_id", "item_id", "covered", "item_words", "start_word", "end_word"])
@@ -240,7 +245,7 @@ def find_leaks(docs: DataFrame, items: DataFrame, *, doc_col: str = "doc_id", te
                 w = words(t)
                 for a in range(0, max(1, len(w) - overlap), shard_words):
                     part = w[a : a + shard_words + overlap]
-                    if len(part) < phrase:
+                    if not part or not plan[1]:
                         continue
                     docs_.append(d)
                     texts.append(part)

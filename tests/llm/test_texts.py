@@ -30,7 +30,7 @@ def test_leaks(spark):
     docs = spark.createDataFrame([
         (1, filler + ITEM + " " + filler), (2, filler + " ".join(w[:17])), (3, filler + " ".join(w[:6])), (4, (filler + " ".join(w[4:27])).upper().replace(" ", "  ​")), (5, None), (6, ""), (7, ITEM), (8, filler * 3000 + ITEM + filler * 3000), (9, " ".join(w[i] for i in random.Random(1).sample(range(len(w)), len(w)))),
     ], "doc_id long, text string")
-    items = spark.createDataFrame([(50, ITEM), (51, ""), (52, None), (53, "too short")], "item_id long, text string")
+    items = spark.createDataFrame([(50, ITEM), (51, ""), (52, None), (53, "too short here")], "item_id long, text string")
     got = leaks.find_leaks(docs, items).collect()
     assert sorted((r.doc_id, r.item_id) for r in got) == [(1, 50), (2, 50), (4, 50), (7, 50), (8, 50)]
     span = {r.doc_id: (r.start_word, r.end_word) for r in got}
@@ -39,6 +39,14 @@ def test_leaks(spark):
     assert leaks.find_leaks(docs.limit(0), items).count() == 0 and leaks.find_leaks(docs, items.limit(0)).count() == 0
 
 
+def test_short_items_and_items_of_stock_phrases(spark):
+    docs = spark.createDataFrame([(1, "say hello big world again"), (2, "hello world"), (3, "choose the best answer from the list below"), (4, "nothing here")], "doc_id long, text string")
+    items = spark.createDataFrame([(1, "Hello, big world!"), (2, "choose the best answer from the list"), (3, "choose the best answer from the list"), (4, "choose the best answer from the list"), (5, "")], "item_id long, text string")
+    got = sorted((r.doc_id, r.item_id, r.start_word, r.end_word) for r in leaks.find_leaks(docs, items).collect())
+    # three copies of one item don't make its phrases stock
+    assert got == [(1, 1, 1, 4), (3, 2, 0, 7), (3, 3, 0, 7), (3, 4, 0, 7)]
+
+
 def test_every_copy_is_a_span(spark):
     n, filler = len(ITEM.split()), "one two three four five six seven eight nine ten eleven twelve "
     docs = spark.createDataFrame([(1, filler + ITEM + " " + filler + ITEM + " " + filler * 100 + ITEM), (2, ITEM + " " + ITEM), (3, filler * 20 + ITEM + " " + filler * 20)], "doc_id long, text string")

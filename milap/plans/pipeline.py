@@ -29,6 +29,8 @@ def candidates(places: DataFrame, evidence: DataFrame, localities: DataFrame) ->
     maps = maps.select("candidate", F.lit("maps").alias("origin"), "run_id", F.col("title").alias("name"), "address", F.col("phone_number").alias("phone"), "website", "category", "lat", "lng", "rating_count", F.substring("geo", 3, 20).alias("geo"))
     host = urls.domain_or_host(F.col("domain"))
     hits = evidence.select("run_id", "name", "phone", "address", host.alias("host"), "evidence_id").where((F.col("host") != "") & F.contains("host", F.lit(".")) & ~urls.third_party(F.col("host"), matching.SHARED_HOSTS))
+    # what the hits show to be a directory is no one's site
+    hits = hits.join(matching.directories(hits.select("host", text.name_key(F.col("name")).alias("name"))), "host", "left_anti")
     web = matching.unmatched(hits, maps.select(urls.domain_or_host(F.col("website")).alias("host")), ["host"]).groupBy("host").agg(*(F.min_by(c, "evidence_id").alias(c) for c in ("run_id", "name", "phone", "address")))
     none = lambda t: F.lit(None).cast(t)
     web = web.select(F.concat(F.lit("web:"), "host").alias("candidate"), F.lit("web").alias("origin"), "run_id", "name", "address", "phone", F.concat(F.lit("https://"), "host", F.lit("/")).alias("website"), none("string").alias("category"), none("double").alias("lat"), none("double").alias("lng"), F.lit(0.0).alias("rating_count"), F.lit("ambiguous").alias("geo"))
@@ -66,7 +68,7 @@ def penalties(found: DataFrame, pages: DataFrame) -> DataFrame:
 def listings(found: DataFrame, documents: DataFrame) -> DataFrame:
     """Candidates with the evidence of their site's pages, contacts by kind, verification and confidence.
 
-    E-mail and profile are signs if the site states any. Documents without texts say nothing.
+    E-mail and profile are signs if the site states any. Documents without texts say nothing. A site that the candidates themselves show to be a directory is none of theirs and is not read.
     """
     site = urls.domain_or_host(F.col("website"))
     said = F.coalesce("text", F.lit("")) if "text" in documents.columns else F.lit("")
@@ -74,7 +76,9 @@ def listings(found: DataFrame, documents: DataFrame) -> DataFrame:
     links = F.filter(F.transform(F.regexp_extract_all("text", F.lit(r"https?://[^\s)\]<>\"']+"), 0), social.canonical_social), lambda u: u != "")
     pages = texts.groupBy("site").agg(F.count("*").alias("pages"), F.max(F.when(urls.page_role(F.col("url")) == "contact", 1).otherwise(0)).alias("has_contact_page"), F.array_distinct(F.flatten(F.collect_set(contacts.emails(F.col("text"))))).alias("emails"), F.array_distinct(F.flatten(F.collect_set(links))).alias("profiles"))
     pages = stage(pages, "pages")
-    found = stage(found.withColumn("site", site), "candidates")
+    found = found.withColumn("site", site)
+    shared = matching.directories(found.select(F.col("site").alias("host"), text.name_key(F.col("name")).alias("name"))).select(F.col("host").alias("site"), F.lit(True).alias("_shared"))
+    found = stage(found.join(shared, "site", "left").withColumn("site", F.when(F.col("_shared"), "").otherwise(F.col("site"))).drop("_shared"), "candidates")
     phone = phones.classify(F.col("phone"))
     rows = found.join(pages, "site", "left").join(site_signs(found, texts.select("site", "text")), "candidate", "left").join(penalties(found, pages.select("site", "emails", "profiles")), "candidate", "left").withColumn("p", phone).withColumn("relation", gates.relationship(F.col("site"), F.coalesce("website", F.lit("")), F.col("name"), F.lit(None).cast("string")))
     has_pages, mapped = F.coalesce("pages", F.lit(0)) > 0, F.col("origin") == "maps"

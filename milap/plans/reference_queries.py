@@ -823,7 +823,11 @@ def confidence_breakdown(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @_query(
     f"""WITH t AS (SELECT site, string_agg(lower(coalesce(text, '')), chr(10) ORDER BY doc_id) AS body FROM documents GROUP BY site),
-      e AS (SELECT evidence_id, any_value({s_host_or_bare('domain')}) AS host, any_value({s_name_key('name')}) AS k, any_value({s_address_key('address')}) AS a FROM evidence WHERE domain IS NOT NULL GROUP BY evidence_id),
+      e0 AS (SELECT evidence_id, {s_host_or_bare('domain')} AS host, {s_name_key('name')} AS k, {s_address_key('address')} AS a FROM (SELECT evidence_id, min(domain) AS domain, min(name) AS name, min(address) AS address FROM evidence WHERE domain IS NOT NULL GROUP BY evidence_id)),
+      named AS (SELECT host, list_filter(list_distinct({s_tokens('k', 4)}), lambda t: NOT list_contains([{', '.join(repr(g) for g in text.GENERIC)}], t)) AS words FROM e0 WHERE host <> '' AND k <> '' AND NOT {s_third('host')}),
+      often AS (SELECT host, max(k) AS k FROM (SELECT host, t, count(*) AS k FROM (SELECT host, unnest(words) AS t FROM named) GROUP BY host, t) GROUP BY host),
+      shared AS (SELECT host FROM (SELECT host, count(*) AS n FROM named GROUP BY host HAVING count(*) >= 5) LEFT JOIN often USING (host) WHERE coalesce(k, 0) * 2 < n),
+      e AS (SELECT * FROM e0 WHERE host NOT IN (SELECT host FROM shared)),
       j AS (SELECT e.evidence_id, len(list_filter(string_split(k, ' '), lambda x: length(x) >= 3)) AS nk, len(list_filter(string_split(k, ' '), lambda x: length(x) >= 3 AND contains(body, x))) AS hk,
         len(list_filter(string_split(a, ' '), lambda x: length(x) >= 3)) AS na, len(list_filter(string_split(a, ' '), lambda x: length(x) >= 3 AND contains(body, x))) AS ha FROM e JOIN t ON e.host = t.site WHERE NOT {s_third('e.host')}),
       s AS (SELECT evidence_id, nk > 0 AND hk / nk >= 0.6 AS nm, na > 0 AND ha / na >= 0.5 AS ad FROM j)
@@ -832,8 +836,10 @@ def confidence_breakdown(spark: SparkSession, sf_dir: str) -> DataFrame:
 def website_verification(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Does a business's own site say its name and address."""
     docs = table(spark, sf_dir, "documents")
-    e = table(spark, sf_dir, "evidence").where("domain is not null").groupBy("evidence_id").agg(F.first("domain").alias("domain"), F.first("name").alias("name"), F.first("address").alias("address"))
+    e = table(spark, sf_dir, "evidence").where("domain is not null").groupBy("evidence_id").agg(F.min("domain").alias("domain"), F.min("name").alias("name"), F.min("address").alias("address"))
     e = e.select("evidence_id", urls.domain_or_host(F.col("domain")).alias("site"), text.name_key(F.col("name")).alias("k"), text.address_key(F.col("address")).alias("a")).where(~urls.third_party(F.col("site"), matching.SHARED_HOSTS))
+    e = stage(e, "asked")
+    e = e.join(matching.directories(e.select(F.col("site").alias("host"), F.col("k").alias("name"))).withColumnRenamed("host", "site"), "site", "left_anti")
     # each word is looked for once in a site's pages, which are never gathered: a site's pages may be a tenth of all
     words = lambda c: F.transform(F.filter(F.split(c, " "), lambda t: F.length(t) >= 3), lambda t, i: F.struct(F.lit(c).alias("c"), i.alias("i"), t.alias("t")))
     asked = e.select("evidence_id", "site", F.explode(F.concat(words("k"), words("a"))).alias("x")).select("evidence_id", "site", "x.*")

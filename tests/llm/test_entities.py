@@ -226,3 +226,21 @@ def test_profiles_merge_by_typos_and_nicknames(spark):
     evidence = spark.createDataFrame([(10, "Sili Banohee Dental", None, None, "x"), (11, "Sil. Banohee Dental", None, None, "x"), (12, "Himalya Dental Clinic", None, None, "x"), (13, "Kumari Om Shanti Cafe", None, None, "x"), (14, "Om Shanti Kumary Cafe", None, None, "x")], EVIDENCE)
     got = {tuple(r) for r in names.variant_pairs(listings, evidence).collect()}
     assert {(1, 10), (2, 10), (4, 12), (5, 13), (5, 14)} <= got and not any(a == 3 for a, _ in got)
+
+
+def test_a_stage_leaves_no_shuffle_files(spark):
+    import time
+
+    from milap.session import stage
+
+    disk = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+    files = lambda: {str(f) for f in disk.getAllFiles().mkString("\n").split("\n") if "shuffle_" in f}
+    before = files()
+    held = spark.range(10_000).groupBy((F.col("id") % 97).alias("k")).count().repartition("k")
+    out = stage(held)
+    for _ in range(50):
+        if not files() - before:
+            break
+        time.sleep(0.1)
+    assert not files() - before
+    assert out.count() == held.count() == 97

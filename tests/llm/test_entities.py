@@ -244,3 +244,18 @@ def test_a_stage_leaves_no_shuffle_files(spark):
         time.sleep(0.1)
     assert not files() - before
     assert out.count() == held.count() == 97
+
+
+def test_tables_of_a_round_are_deleted_when_names_are_matched(spark):
+    from pathlib import Path
+    from urllib.parse import urlparse
+
+    from milap.session import shared_dir
+
+    at = Path(urlparse(shared_dir(spark)).path)
+    there = lambda: {p.name for k in ("brands", "said", "asking", "contact", "links") for p in at.glob(f"{k}-*")}
+    before = there()
+    listings = spark.createDataFrame([(1, "k1", "Himal Sagar Dental Clinic", ["014412345"], [], []), (2, "k2", "Himal Sagar Dental", [], [], [])], LISTING)
+    evidence = spark.createDataFrame([(10, "Sagar", "014412345", None, "x"), (11, "Himal Sagr Dental", None, None, "x")], EVIDENCE)
+    got = {tuple(r) for r in names.variant_pairs(listings, evidence).collect()}
+    assert got == {(i, e) for i in (1, 2) for e in (10, 11)} and not there() - before

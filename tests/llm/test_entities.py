@@ -259,3 +259,27 @@ def test_tables_of_a_round_are_deleted_when_names_are_matched(spark):
     evidence = spark.createDataFrame([(10, "Sagar", "014412345", None, "x"), (11, "Himal Sagr Dental", None, None, "x")], EVIDENCE)
     got = {tuple(r) for r in names.variant_pairs(listings, evidence).collect()}
     assert got == {(i, e) for i in (1, 2) for e in (10, 11)} and not there() - before
+
+
+def test_a_contact_that_becomes_a_crowd_in_a_later_round_is_asked_for_words_known_before(spark):
+    rows = [(1, "Himal Sagar Dental"), (2, "Bihani Tara Gym"), (3, "Sunaulo Nadi Cafe"), (4, "Kopila Dhara Law")]
+    ours = names.parsed(spark.createDataFrame([(i, i, n) for i, n in rows], "id long, owner long, name string"))
+    theirs = names.parsed(spark.createDataFrame([(10, None, "Sunaulo Bihani"), (11, None, "Sunaulo"), (12, None, "Gaurishankar")], "id long, owner long, name string"))
+    left = spark.createDataFrame([(1, "P"), (2, "Q"), (3, "D"), (4, "D")], "owner long, contact string")
+    right = spark.createDataFrame([(10, "P"), (10, "Q"), (11, "P"), (12, "D")], "id long, contact string")
+    # 10 joins the gym by Q; P is of two then, and the gym is also called by the word that 11 asks for
+    for crowded in (0, 1, 20):
+        got = {tuple(r) for r in names.resolve(ours, theirs, left, right, crowded=crowded)[1].collect()}
+        assert {(10, 2), (11, 2)} <= got
+
+
+def test_left_of_words_is_the_same_for_the_same_letters():
+    rng = random.Random(31)
+    words = sorted({"".join(rng.choice("abc") for _ in range(rng.randint(1, 8))) for _ in range(80)})
+
+    def cut(w):
+        one = {w, *(w[:i] + w[i + 1 :] for i in range(len(w)))}
+        return one | {x[:i] + x[i + 1 :] for x in one for i in range(len(x))} if len(w) >= 4 else one
+
+    left = [set(x.tolist()) for x in names._left_of(words, 4)]
+    assert all(bool(left[i] & left[j]) == bool(cut(a) & cut(b)) for i, a in enumerate(words) for j, b in enumerate(words))

@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from milap.llm.addresses import other_readings, parse_address
 from milap.llm.names import _OTHER, _dropped
-from milap.session import stage
+from milap.session import release, stage
 
 
 def address_parts(rows: DataFrame) -> DataFrame:
@@ -55,31 +55,30 @@ def chosen_readings(parts: DataFrame, seen: int = 5) -> DataFrame:
     return sure.unionByName(maybe.join(one, "squeezed").select(*parts.columns))
 
 
-def _uses(forms: DataFrame) -> DataFrame:
+def _triples(forms: DataFrame) -> DataFrame:
+    """``(street, number, place)`` of ``(street, number, places)``, each once."""
+    return forms.select("street", "number", F.explode("places").alias("place")).distinct()
+
+
+def _uses(triples: DataFrame) -> DataFrame:
     """``(role, word, context)``: each word and what the rest of its address says."""
-    return forms.select(
-        F.explode(
-            F.flatten(
-                F.transform(
-                    "places",
-                    lambda p: F.array(
-                        F.struct(F.lit("street").alias("role"), F.col("street").alias("word"), F.xxhash64("number", p).alias("context")),
-                        F.struct(F.lit("place").alias("role"), p.alias("word"), F.xxhash64("number", "street").alias("context")),
-                    ),
-                )
-            )
-        ).alias("x")
-    ).select("x.*").distinct()
+    use = lambda role, word, *rest: F.struct(F.lit(role).alias("role"), F.col(word).alias("word"), F.xxhash64(*rest).alias("context"))
+    return triples.select(F.explode(F.array(use("street", "street", "number", "place"), use("place", "place", "number", "street"))).alias("x")).select("x.*")
 
 
 def mine_rewrites(forms: DataFrame, alpha: float = 0.01, ratio: float = 4.0) -> DataFrame:
-    """``(role, word, better)``: significant rewrites among ``(street, number, places)``, of words of any length; no ``better`` is itself rewritten.
+    """``(role, word, better)``: significant rewrites among ``(street, number, places)``, of words of any length; no ``better`` is itself rewritten."""
+    return _mined(_triples(forms), alpha, ratio)
+
+
+def _mined(triples: DataFrame, alpha: float = 0.01, ratio: float = 4.0) -> DataFrame:
+    """``mine_rewrites`` among ``(street, number, place)`` that are each there once.
 
     With k shared contexts, n contexts of the rare word, the share p of contexts that hold the frequent one, and the share q of all pairs
     of words that look alike (or abbreviate), chance gives n p q such words in shared contexts; Poisson's bound on k or more of these must be under ``alpha``.
     The frequent word has at least ``ratio`` times the contexts of the rare one. Of several, the nearest, then the most shared, then the smaller wins; abbreviations come last and need two shared contexts.
     """
-    uses = stage(_uses(forms), "uses")
+    uses = stage(_uses(triples), "uses")
     words = stage(uses.groupBy("role", "word").agg(F.count("*").alias("n")), "words")
     total = {r["role"]: (r["v"], r["c"]) for r in words.groupBy("role").agg(F.count("*").alias("v"), F.sum("n").alias("c")).collect()}
     # one letter dropped, of the word or of its consonants: a letter typed into a long vowel, which is one letter by sound, makes two more
@@ -126,6 +125,27 @@ def rewritten(forms: DataFrame, rewrites: DataFrame) -> DataFrame:
     return out.join(wide, "form", "left").withColumn("places", F.when(F.col("_new").isNull(), F.col("places")).otherwise(F.transform("places", lambda p, i: F.coalesce(F.element_at("_new", i), p)))).drop("_new")
 
 
+def all_rewrites(forms: DataFrame, max_rounds: int = 60) -> DataFrame:
+    """``(role, word, better)``: rewrites of ``(street, number, places)`` mined until no new one appears, each word's with what becomes of it later. ``RuntimeError`` if they still appear after ``max_rounds``."""
+    triples, known = stage(_triples(forms), "triples"), None
+    for _ in range(max_rounds):
+        found = stage(_mined(triples), "rewrites")
+        if not found.limit(1).count():
+            release(triples)
+            return found if known is None else known
+        if known is None:
+            known = found
+        else:
+            # what was rewritten before is in no address any more, but what it became may be
+            again = found.select("role", F.col("word").alias("better"), F.col("better").alias("last"))
+            known = stage(known.join(again, ["role", "better"], "left").select("role", "word", F.coalesce("last", "better").alias("better")).unionByName(found), "known")
+        of = lambda role: found.where(F.col("role") == role).select(F.col("word").alias(role), F.col("better").alias(f"_{role}"))  # noqa: E731, B023
+        before, triples = triples, triples.join(of("street"), "street", "left").join(of("place"), "place", "left").select(F.coalesce("_street", "street").alias("street"), "number", F.coalesce("_place", "place").alias("place"))
+        triples = stage(triples.distinct(), "triples")
+        release(before)
+    raise RuntimeError(f"new rewrites appear after {max_rounds} rounds")
+
+
 def located(forms: DataFrame, registry: DataFrame) -> DataFrame:
     """``forms`` with ``place``, the locality, and the places' first word: by its name, else by town and ward, else by postcode.
 
@@ -174,14 +194,10 @@ def building_keys(rows: DataFrame, localities: DataFrame, max_rounds: int = 60)
     """
     read = stage(address_parts(rows), "read")
     parts = stage(chosen_readings(read).drop("sure").withColumn("form", F.xxhash64("street", "number", "ward", "post", "places")), "parts")
-    forms = stage(parts.select("form", "street", "number", "ward", "post", "places").dropDuplicates(["form"]), "forms")
-    for _ in range(max_rounds):
-        found = stage(mine_rewrites(forms.select("street", "number", "places")), "rewrites")
-        if not found.limit(1).count():
-            break
-        forms = stage(rewritten(forms, found), "forms")
-    else:
-        raise RuntimeError(f"new rewrites appear after {max_rounds} rounds")
+    first = stage(parts.select("form", "street", "number", "ward", "post", "places").distinct(), "forms")
+    rewrites = stage(all_rewrites(first.select("street", "number", "places"), max_rounds), "rewrites")
+    forms = stage(rewritten(first, rewrites), "forms")
+    release(first)
     registry = stage(registry_aliases(localities), "registry")
     placed = stage(located(_righted(forms), registry), "placed")
     sure = placed.where("place is not null").select("form", F.xxhash64("street", "number", "place").alias("building"))

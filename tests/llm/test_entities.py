@@ -283,3 +283,17 @@ def test_left_of_words_is_the_same_for_the_same_letters():
 
     left = [set(x.tolist()) for x in names._left_of(words, 4)]
     assert all(bool(left[i] & left[j]) == bool(cut(a) & cut(b)) for i, a in enumerate(words) for j, b in enumerate(words))
+
+
+def test_rewrites_are_mined_from_each_address_once(spark, monkeypatch):
+    streets = ["Yogasel", "Varum", *"Hapuhe Bothoval Kshuku Tuhot Jeprepa Matuba Risuyat Gibrane Brami Heelana Pradhaaphi Krikrur Bepepree Lophil".split()]
+    rows = [(i, f"{s} Marg {h}, Miyel, Ward 1, Seelot") for i, (s, h) in enumerate((s, h) for s in streets for h in range(1, 9))]
+    rows += [(1000 + i, a.replace(" Ward 1,", "")) for i, a in rows]
+    evidence = spark.createDataFrame([(1, "H.No. 3 Yogsael Road; Seelot - 1; Nepal"), (3, "#3, Yogasel Rd, Seelott, Miyel"), (4, "2nd Floor, Varum St. No. 5, Miyel")], "evidence_id long, address string")
+    loc = spark.createDataFrame([(1, "miyel", ["miyel", "seelot-1"]), (2, "thayim", None)], "locality_id long, canonical_name string, aliases array<string>")
+    seen, mine = [], buildings._mined
+    monkeypatch.setattr(buildings, "_mined", lambda triples, *a: (seen.append((triples.count(), triples.distinct().count())), mine(triples, *a))[1])
+    got = buildings.same_building(spark.createDataFrame(rows, "row_id long, address string"), evidence, loc).collect()
+    assert sorted(map(tuple, got)) == [(2, 1), (2, 3), (12, 4), (1002, 1), (1002, 3), (1012, 4)]
+    # the ward makes another form of an address and no other evidence
+    assert len(seen) > 1 and all(a == b for a, b in seen)

@@ -14,21 +14,21 @@ from pyspark.sql import functions as F
 from milap.session import stage
 
 
-def hash_to_min(links: DataFrame, a: str, b: str, max_rounds: int = 60) -> DataFrame:
+def hash_to_min(links: DataFrame, a: str, b: str, max_rounds: int = 60, light: int = 0) -> DataFrame:
     """``(node, group_id)`` for every node with a link to another node; ``group_id`` is the group's smallest node.
 
     Links have no direction. Repeated links count once; links with a null end and from a node to itself say nothing and are
-    dropped; an empty table gives no groups. ``RuntimeError`` if ``max_rounds`` don't suffice.
+    dropped; an empty table gives no groups. ``RuntimeError`` if ``max_rounds`` don't suffice. ``light``: as in ``stage``.
     """
     pair = links.where(F.col(a).isNotNull() & F.col(b).isNotNull() & (F.col(a) != F.col(b))).select(F.col(a).cast("long").alias("v"), F.col(b).cast("long").alias("u"))
     # the first round from the links themselves: a vertex and its smaller and larger neighbours
-    known = stage(pair.select(F.explode(F.array(F.struct("v", "u"), F.struct(F.col("u").alias("v"), F.col("v").alias("u")))).alias("x")).select("x.*").distinct(), "known")
+    known = stage(pair.select(F.explode(F.array(F.struct("v", "u"), F.struct(F.col("u").alias("v"), F.col("v").alias("u")))).alias("x")).select("x.*").distinct(), "known", light)
     before = None
     for _ in range(max_rounds):
         least = known.groupBy("v").agg(F.least(F.min("u"), F.col("v")).alias("m"))
         both = lambda x, y: F.array(F.struct(F.col(x).alias("v"), F.col(y).alias("u")), F.struct(F.col(y).alias("v"), F.col(x).alias("u")))
         sent = known.join(least, "v").select(F.explode(both("m", "u")).alias("x")).unionByName(least.select(F.explode(both("m", "v")).alias("x"))).select("x.*")
-        known = stage(sent.where("v <> u").distinct(), "known")
+        known = stage(sent.where("v <> u").distinct(), "known", light)
         now = tuple(known.agg(F.count("*"), F.sum(F.xxhash64("v", "u").cast("decimal(38,0)"))).first())
         if now == before:
             break

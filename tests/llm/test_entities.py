@@ -74,6 +74,32 @@ def test_variant_pairs(spark):
     assert names.variant_pairs(listings.limit(0), evidence).count() == 0
 
 
+def test_small_plans_leave_little_on_the_driver(spark, monkeypatch):
+    rng = random.Random(23)
+    word = lambda: "".join(rng.choice("bdgklmnprt") + rng.choice("aeiou") for _ in range(4)).title()
+    brands = [(word(), word()) for _ in range(30)]
+    listings = spark.createDataFrame([(i, f"k{i}", f"{a} {b} Gym", [f"061-5654{i:02d}"], [], []) for i, (a, b) in enumerate(brands)], LISTING)
+    evidence = spark.createDataFrame([(100 + i, (f"{b} {a} Fitness", f"{a[0]}. {b} Gym", f"{a[:3]}{a[4:]} {b} Gym", b)[i % 4], f"061-5654{i:02d}", None, "x") for i, (a, b) in enumerate(brands)], EVIDENCE)
+    plans = lambda: spark._jsparkSession.sharedState().statusStore().executionsList()
+
+    def pairs():
+        before = plans().size()
+        got = sorted(map(tuple, names.variant_pairs(listings, evidence).collect()))
+        spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+        written = [x for x in map(plans().apply, range(before, plans().size())) if "InsertIntoHadoopFsRelationCommand" in x.physicalPlanDescription()]
+        return got, sum("BroadcastExchange" in x.physicalPlanDescription() for x in written), sum(x.metrics().size() for x in written)
+
+    kept = {k: spark.conf.get(k) for k in ("spark.sql.adaptive.enabled", "spark.sql.autoBroadcastJoinThreshold", "spark.sql.shuffle.partitions")}
+    light = pairs()
+    assert kept == {k: spark.conf.get(k) for k in kept}
+    monkeypatch.setattr(names, "stage", names.session.stage)
+    monkeypatch.setattr(names, "LIGHT", 0)
+    heavy = pairs()
+    # a plan is carried out in another way, with the same result
+    assert light[0] == heavy[0] and len({(i, 100 + i) for i in range(30)} & set(light[0])) > 25
+    assert light[1] == 0 < heavy[1] and 2 * light[2] < heavy[2], (light[1:], heavy[1:])
+
+
 def test_contact_of_a_crowd_still_decides_by_a_brand_word(spark):
     rng = random.Random(21)
     word = lambda: "".join(rng.choice("bdgklmnprt") + rng.choice("aeiou") for _ in range(4)).title()
